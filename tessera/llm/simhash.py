@@ -22,41 +22,67 @@ BLOCKS = 6
 PIVOTS = 16
 #: Runs of fingerprints with equal key up to this length are compared by offset, longer ones by probing.
 SHORT_RUN = 128
+#: For similarities rather than a few bits: the fingerprint's width, the number of bit samples that bring texts
+#: together, and the bits of each. At similarity 0.8, 0.95 of pairs meet; at 0.9, over 0.999.
+WIDTH, BANDS, BAND_BITS = 256, 40, 16
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """The 64-bit SimHash of the text's word shingles; A-Z lower-cased; a bit is set if over half the hashes have it."""
+def shingle_counts(text: str | None, words: int, width: int = 64) -> tuple[int, np.ndarray]:
+    """The number of the text's word shingles, and for each of width bits in how many of their hashes it is set.
+
+    A-Z are lower-cased. Bits beyond the first 64 come from the same hash, mixed anew for every 64.
+    """
     tokens = (text or "").encode("utf-8", "replace").lower().split()
     n = len(tokens)
+    ones = np.zeros(width, np.int64)
     if not n:
-        return 0
+        return 0, ones
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, n) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1]
     k = max(1, n - words + 1)
     stops = ends[words - 1 :] if n >= words else ends[-1:]
-    ones = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, k, CHUNK):
-        a, b = starts[at : min(k, at + CHUNK)].tolist(), stops[at : at + CHUNK].tolist()
-        h = np.fromiter((digest(joined[i:j], SEED) for i, j in zip(a, b)), np.uint64, len(a))
-        if len(h) > 512:
-            octets = h.view(np.uint8).reshape(-1, 8)
-            for o in range(8):
-                ones[8 * o : 8 * o + 8] += np.bincount(octets[:, o], minlength=256) @ _OCTET_BITS
-        else:
-            ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > k, bitorder="little").view("<u8")[0])
+        i, j = starts[at : min(k, at + CHUNK)].tolist(), stops[at : at + CHUNK].tolist()
+        h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(i, j)), np.uint64, len(i))
+        for w in range(0, width, 64):
+            octets = (_mixed(h, w // 64) if w else h).view(np.uint8).reshape(-1, 8)
+            if len(h) > 512:
+                for o in range(8):
+                    ones[w + 8 * o : w + 8 * o + 8] += np.bincount(octets[:, o], minlength=256) @ _OCTET_BITS
+            else:
+                ones[w : w + 64] += np.unpackbits(octets, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return k, ones
+
+
+def _mixed(h: np.ndarray, n: int) -> np.ndarray:
+    z = h + np.uint64(n * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def fingerprint(text: str | None, words: int, width: int = 64) -> np.ndarray:
+    """The SimHash of the text's word shingles as 64-bit words; a bit is set if over half the hashes have it."""
+    k, ones = shingle_counts(text, words, width)
+    return np.packbits(ones * 2 > k, bitorder="little").view("<u8")
 
 
 _OCTET_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def _fingerprints(words: int):
+def _columns(width: int) -> list[str]:
+    return [f"f{i}" for i in range(width // 64)]
+
+
+def _fingerprints(words: int, width: int):
+    names = ["doc_id", *_columns(width)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(t.as_py(), words) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = np.array([fingerprint(t.as_py(), words, width) for t in b.column(1)], np.uint64).reshape(-1, width // 64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in fp.T)], names)
 
     return run
 
@@ -66,14 +92,19 @@ def block_masks(blocks: int = BLOCKS) -> list[int]:
     return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
 
 
-def references(pivots: int = PIVOTS) -> np.ndarray:
+def references(pivots: int = PIVOTS, width: int = 64) -> np.ndarray:
     """The reference fingerprints: fixed, spread over the cube (hashes of 0, 1, ...)."""
-    return np.array([xxhash.xxh64_intdigest(i.to_bytes(8, "little"), SEED) for i in range(pivots)], np.uint64)
+    n = width // 64
+    return np.array([xxhash.xxh64_intdigest(i.to_bytes(8, "little"), SEED) for i in range(pivots * n)], np.uint64).reshape(pivots, n)
+
+
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
 
 
 def pivot_table(fps: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Hamming distances of each fingerprint to each reference, one row per reference."""
-    return np.stack([np.bitwise_count(fps ^ p).astype(np.int8) for p in pivots]) if len(pivots) else np.zeros((0, len(fps)), np.int8)
+    return np.stack([distance(fps, p) for p in pivots]) if len(pivots) else np.zeros((0, len(fps)), np.int16)
 
 
 class _Forest:
@@ -105,7 +136,7 @@ def _survivors(fps: np.ndarray, coords: np.ndarray, a: np.ndarray, b: np.ndarray
     alive = np.arange(len(a))
     for row in coords:
         alive = alive[np.abs(row[a[alive]] - row[b[alive]]) <= bits]
-    return alive[np.bitwise_count(fps[a[alive]] ^ fps[b[alive]]) <= bits]
+    return alive[distance(fps[a[alive]], fps[b[alive]]) <= bits]
 
 
 def _probe(fps: np.ndarray, coords: np.ndarray, lo: int, hi: int, free: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -113,7 +144,7 @@ def _probe(fps: np.ndarray, coords: np.ndarray, lo: int, hi: int, free: int, bit
 
     Every way to flip up to bits of the free bits is looked up by binary search: the work follows the run's length.
     """
-    part = fps[lo:hi]
+    part = fps[lo:hi, 0]
     positions = [1 << i for i in range(64) if free >> i & 1]
     for m in range(1, bits + 1):
         for flip in combinations(positions, m):
@@ -126,14 +157,38 @@ def _probe(fps: np.ndarray, coords: np.ndarray, lo: int, hi: int, free: int, bit
                 yield hit[keep] + lo, at[hit][keep] + lo
 
 
-def _linked(bits: int, blocks: int, pivots: int):
-    masks = block_masks(blocks)
-    tables = list(combinations(range(blocks), blocks - bits))
-    free = [((1 << 64) - 1) ^ sum(masks[i] for i in t) for t in tables]
-    refs = references(pivots)
+def _led(fps: np.ndarray, lo: int, hi: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links that connect whatever is connected within bits in the run fps[lo:hi], for runs of many near copies.
 
-    def links(t: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        """t, key, fp: whole runs, sorted by all three."""
+    The first fingerprint not yet reached becomes a pivot and links all within bits; only pairs of different pivots'
+    groups are then compared, a block at a time, until one link joins the groups.
+    """
+    left = np.arange(lo, hi)
+    groups: list[np.ndarray] = []
+    while len(left):
+        near = distance(fps[left], fps[left[0]]) <= bits
+        groups.append(left[near])
+        yield np.full(int(near.sum()) - 1, left[0]), left[near][1:]
+        left = left[~near]
+    for i, g in enumerate(groups):
+        for at in range(0, len(g), 4096):
+            block = g[at : at + 4096]
+            for j in range(i):
+                other = groups[j]
+                step = max(1, 4_000_000 // len(block))
+                for k in range(0, len(other), step):
+                    x, y = np.nonzero(distance(fps[block][:, None, :], fps[other[k : k + step]][None, :, :]) <= bits)
+                    if len(x):
+                        yield block[x[:1]], other[k : k + step][y[:1]]
+                        break
+
+
+def _linked(bits: int, width: int, pivots: int, free: list[int] | None):
+    """Links within runs of equal (t, key). free: for each t the bits in which a run's members can differ, if few."""
+    refs = references(pivots, width)
+
+    def links(t: np.ndarray, key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        """Whole runs, sorted by t, key and (64-bit fingerprints) value."""
         coords = pivot_table(fp, refs)
         n = len(fp)
         new = np.r_[True, (t[1:] != t[:-1]) | (key[1:] != key[:-1])]
@@ -152,12 +207,20 @@ def _linked(bits: int, blocks: int, pivots: int):
             first = forest.join(a, a + s)
             out.append((a[first], a[first] + s))
         for lo, many in zip(start[length > SHORT_RUN].tolist(), length[length > SHORT_RUN].tolist()):
-            for a, b in _probe(fp, coords, lo, lo + many, free[int(t[lo])], bits):
+            for a, b in _probe(fp, coords, lo, lo + many, free[int(t[lo])], bits) if free else _led(fp, lo, lo + many, bits):
                 first = forest.join(a, b)
                 out.append((a[first], b[first]))
         a = np.concatenate([x for x, _ in out]) if out else np.zeros(0, np.int64)
         b = np.concatenate([x for _, x in out]) if out else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(fp[a].view(np.int64)), pa.array(fp[b].view(np.int64))], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+
+    def whole(parts: list[np.ndarray]) -> tuple:
+        t, key, node, *fp = parts
+        fp = np.stack(fp, axis=1).view(np.uint64)
+        if free:  # rows come sorted by (t, key); binary search needs the values in unsigned order within a run
+            order = np.lexsort((fp[:, 0], key, t))
+            t, key, node, fp = t[order], key[order], node[order], fp[order]
+        return t, key, node, fp
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -169,36 +232,85 @@ def _linked(bits: int, blocks: int, pivots: int):
             rows += batch.num_rows
             if rows < 200_000 or (held[0][0][0] == held[-1][0][-1] and held[0][1][0] == held[-1][1][-1]):
                 continue
-            t, key, fp = (np.concatenate(x) for x in zip(*held))
-            cut = int(np.flatnonzero((t != t[-1]) | (key != key[-1]))[-1]) + 1
-            yield links(t[:cut], key[:cut], *_sorted(t[:cut], key[:cut], fp[:cut]))
-            held, rows = [(t[cut:], key[cut:], fp[cut:])], len(t) - cut
+            parts = [np.concatenate(x) for x in zip(*held)]
+            cut = int(np.flatnonzero((parts[0] != parts[0][-1]) | (parts[1] != parts[1][-1]))[-1]) + 1
+            yield links(*whole([p[:cut] for p in parts]))
+            held, rows = [tuple(p[cut:] for p in parts)], len(parts[0]) - cut
         if rows:
-            t, key, fp = (np.concatenate(x) for x in zip(*held))
-            yield links(t, key, *_sorted(t, key, fp))
-
-    def _sorted(t, key, fp):
-        fp = fp.view(np.uint64)  # rows come sorted by (t, key); within a run Spark's order is signed
-        return (fp[np.lexsort((fp, key, t))],)
+            yield links(*whole([np.concatenate(x) for x in zip(*held)]))
 
     return run
 
 
-def near_links(fps: DataFrame, bits: int = 2, blocks: int = BLOCKS, pivots: int = PIVOTS) -> DataFrame:
-    """Pairs (a, b) of distinct 64-bit values of the column fp within the Hamming distance: a spanning forest per bucket.
+def _met(rows: DataFrame, run) -> DataFrame:
+    """rows: (t, key, node, f0, ...). Runs of equal (t, key) meet whole."""
+    dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "t", "key").sortWithinPartitions("t", "key")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def near_links(nodes: DataFrame, bits: int = 2, blocks: int = BLOCKS, pivots: int = PIVOTS) -> DataFrame:
+    """Pairs (a, b) of nodes whose 64-bit fingerprints (node, f0) lie within the distance: a spanning forest per bucket.
 
     Two values within `bits` agree on all but `bits` of the blocks, so they meet in the bucket of some combination of
-    blocks. A bucket holds only values that differ in the two free blocks' 22 bits at most, which bounds it; within it,
-    distances to the reference fingerprints are tabulated, pairs are discarded by their maximum coordinate difference,
-    survivors are verified, and only links that connect something new are returned: every value stays connected to all
-    that it reaches.
+    blocks. A bucket holds only values that differ in the free blocks' bits (22 for 2 of 6), which bounds it; within
+    it, distances to the reference fingerprints are tabulated, pairs are discarded by their maximum coordinate
+    difference, survivors are verified, and only links that connect something new are returned: every value stays
+    connected to all that it reaches.
     """
-    tables = list(combinations(block_masks(blocks), blocks - bits))
+    masks = block_masks(blocks)
+    tables = list(combinations(range(blocks), blocks - bits))
+    fixed = [sum(masks[i] for i in t) for t in tables]
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(sum(m)))).alias("key")) for i, m in enumerate(tables)])
-    rows = fps.select("fp", F.explode(keys).alias("k")).select("k.t", "k.key", "fp")
-    dealt = rows.repartition(shuffle_partitions(fps.sparkSession), "t", "key").sortWithinPartitions("t", "key")
-    return dealt.mapInArrow(_linked(bits, blocks, pivots), "a long, b long")
+    keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("f0").bitwiseAND(F.lit(signed(m))).alias("key")) for i, m in enumerate(fixed)])
+    rows = nodes.select(F.explode(keys).alias("k"), "node", "f0").select("k.t", "k.key", "node", "f0")
+    return _met(rows, _linked(bits, 64, pivots, [((1 << 64) - 1) ^ m for m in fixed]))
+
+
+def band_links(nodes: DataFrame, bits: int, width: int, bands: int = BANDS, band_bits: int = BAND_BITS, pivots: int = PIVOTS) -> DataFrame:
+    """Like near_links for distances too wide for blocks: values that agree on all bits of one of many fixed bit samples.
+
+    Which bits a band takes is fixed (a hash order of their numbers). Two fingerprints at distance d of `width` miss
+    every band with probability (1 - (1 - d / width) ** band_bits) ** bands.
+    """
+    cols = _columns(width)
+    schema = "t int, key long, node long, " + ", ".join(f"{c} long" for c in cols)
+    rows = nodes.select("node", *cols).mapInArrow(_banded(width, bands, band_bits), schema)
+    return _met(rows, _linked(bits, width, pivots, None))
+
+
+def _banded(width: int, bands: int, band_bits: int):
+    picked = [sorted(range(width), key=lambda i: xxhash.xxh64_intdigest(f"{t}:{i}".encode(), SEED))[:band_bits] for t in range(bands)]
+    names = ["t", "key", "node", *_columns(width)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [c.to_numpy(zero_copy_only=False).view(np.uint64) for c in b.columns[1:]]
+            for t, bits in enumerate(picked):
+                key = np.zeros(b.num_rows, np.uint64)
+                for k, i in enumerate(bits):
+                    key |= (words[i // 64] >> np.uint64(i % 64) & np.uint64(1)) << np.uint64(k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, t, np.int32)), pa.array(key.view(np.int64)), *b.columns], names)
+
+    return run
+
+
+def radius(similarity: float, width: int) -> int:
+    """Differing bits of width that texts of such Jaccard similarity show on average, plus one standard deviation."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(width * p + (width * p * (1 - p)) ** 0.5)
+
+
+def _grouped(prints: DataFrame, width: int, links) -> DataFrame:
+    """prints with component_id: the smallest doc_id reachable. links: from distinct (node, f0, ...) to pairs of nodes."""
+    cols = _columns(width)
+    distinct = prints.groupBy(*cols).agg(F.min("doc_id").alias("least"))
+    nodes = staged(distinct.withColumn("node", F.col("f0") if width == 64 else F.monotonically_increasing_id()), "simhash-nodes")
+    reach = components(links(nodes.select("node", *cols)).distinct()).withColumnRenamed("node", "n")
+    linked = nodes.join(reach, F.col("node") == F.col("n")).select(*cols, "component", "least")
+    named = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    member = linked.select(*cols, "component").join(named, "component").select(*cols, "component_id")
+    whole = nodes.join(member, cols, "left").select(*cols, F.coalesce("component_id", "least").alias("component_id"))
+    return prints.join(whole, cols)
 
 
 def simhash_dedup(docs: DataFrame, words: int = 3, bits: int = 2, blocks: int = BLOCKS, pivots: int = PIVOTS) -> DataFrame:
@@ -208,14 +320,20 @@ def simhash_dedup(docs: DataFrame, words: int = 3, bits: int = 2, blocks: int =
     words than a shingle is one shingle; one without words, empty or null has fingerprint zero and links like any other.
     Null doc_ids don't name a component unless it has no other. Equal fingerprints are one node, so copies cost nothing.
     """
-    prints = staged(only(docs, "doc_id", "text").mapInArrow(_fingerprints(words), "doc_id long, fp long"), "simhash")
-    nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    reach = components(near_links(nodes.select("fp"), bits, blocks, pivots).distinct())
-    linked = nodes.join(reach, nodes["fp"] == reach["node"]).select("fp", "component", "least")
-    named = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    member = linked.select("fp", "component").join(named, "component").select("fp", "component_id")
-    whole = nodes.join(member, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(whole, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    prints = staged(only(docs, "doc_id", "text").mapInArrow(_fingerprints(words, 64), "doc_id long, f0 long"), "simhash")
+    out = _grouped(prints, 64, lambda nodes: near_links(nodes, bits, blocks, pivots))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = WIDTH, bands: int = BANDS, band_bits: int = BAND_BITS, pivots: int = PIVOTS) -> DataFrame:
+    """doc_id, component_id: documents grouped by estimated Jaccard similarity of word shingles, by wide fingerprints.
+
+    Fingerprints of `width` bits link at radius(similarity, width) or fewer differing bits, the distance that stands
+    for the similarity. Texts without words have similarity to nothing but each other. Rows as in simhash_dedup.
+    """
+    schema = "doc_id long, " + ", ".join(f"{c} long" for c in _columns(width))
+    prints = staged(only(docs, "doc_id", "text").mapInArrow(_fingerprints(words, width), schema), "simhash")
+    return _grouped(prints, width, lambda nodes: band_links(nodes, radius(similarity, width), width, bands, band_bits, pivots)).select("doc_id", "component_id")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
