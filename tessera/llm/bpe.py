@@ -12,12 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
+from .chunks import ChunkCoder, text_rounds
 from .shared import only, table
 
-#: Cached chunks of text (strings between spaces), at most; the cache starts afresh beyond.
-CACHE_CHUNKS = 300_000
-#: Characters of text that one round of encoding takes at once.
-ROUND_CHARS = 4_000_000
+#: A single word whose bytes are all their own symbols.
+PLAIN_WORD = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[!-/:-@\[-`{-~]+")
 
 
 def vocabulary_path() -> str:
@@ -91,11 +90,11 @@ class MergeRounds:
         return sym[order], np.bincount(word, minlength=words)
 
 
-class Codec:
+class Codec(ChunkCoder):
     """Encodes and decodes as the tokenizers library does with a word-end BPE file (add_special_tokens=False).
 
-    The library's own normaliser and pre-tokeniser cut the text into words; the merges run here. Text is cut at spaces
-    first: no rule of the file reaches over a space, so equal chunks have equal ids and are encoded once.
+    Words come from ChunkCoder, or, beyond Latin-1, from the library's own normaliser and pre-tokeniser; they are
+    mapped to the byte alphabet by its byte-level step; the merges run here.
     """
 
     def __init__(self, path: str):
@@ -116,21 +115,15 @@ class Codec:
         for token, i in [*vocab.items(), *self.special.items()]:
             names[i] = token
         self.names = [t.encode() for t in names]
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.int32)
-        self.used = 0
-        self.begin = np.zeros(1 << 14, np.int64)
-        self.size = np.zeros(1 << 14, np.int64)
+        super().__init__(spec)
 
     def _words(self, chunk: str) -> list[str]:
+        if PLAIN_WORD.fullmatch(chunk):
+            return [chunk]
         chunk = self.tokenizer.normalizer.normalize_str(chunk) if self.tokenizer.normalizer else chunk
         return [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(chunk)]
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Encodes chunks that aren't in the cache yet."""
+    def ids_of(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         symbols: list[int] = []
         lengths: list[int] = []
         owner: list[int] = []
@@ -153,49 +146,13 @@ class Codec:
                         owner.append(k)
         sym, size = self.rounds.apply(np.array(symbols, np.int64), np.array(lengths, np.int64)) if symbols else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         per = np.bincount(np.array(owner, np.int64), weights=size, minlength=len(chunks)).astype(np.int64) if len(owner) else np.zeros(len(chunks), np.int64)
-        n, m = len(self.index), len(chunks)
-        while self.used + len(sym) > len(self.flat):
-            self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
-        while n + m > len(self.begin):
-            self.begin, self.size = np.r_[self.begin, np.zeros_like(self.begin)], np.r_[self.size, np.zeros_like(self.size)]
-        self.flat[self.used : self.used + len(sym)] = sym
-        self.size[n : n + m] = per
-        self.begin[n : n + m] = self.used + np.cumsum(per) - per
-        self.used += len(sym)
-        self.index.update(zip(chunks, range(n, n + m)))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text as an int32 array."""
-        if len(self.index) > CACHE_CHUNKS or self.used > 16 * CACHE_CHUNKS:
-            self.clear()
-        split = [t.split(" ") for t in texts]
-        chunks = [c for s in split for c in s]
-        self._learn(list(set(chunks).difference(self.index)))
-        at = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
-        size = self.size[at]
-        stop = np.cumsum(size)
-        flat = self.flat[np.repeat(self.begin[at] - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)]
-        ends = stop[np.cumsum([len(s) for s in split]) - 1] if split else []
-        return np.split(flat, ends[:-1]) if len(ends) else []
+        return sym, per
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The decoded text in UTF-8: the file names no decoder, so tokens are joined by spaces."""
         return b" ".join(map(self.names.__getitem__, ids.tolist()))
 
 
-def text_rounds(texts: list[str | None], chars: int = ROUND_CHARS) -> Iterator[tuple[int, list[str]]]:
-    """Slices of the list that hold about so many characters (one text at least), each with its first index; null is empty."""
-    at, held, n = 0, [], 0
-    for i, t in enumerate(texts):
-        held.append(t or "")
-        n += len(held[-1])
-        if n >= chars:
-            yield at, held
-            at, held, n = i + 1, [], 0
-    if held:
-        yield at, held
-
-
 _codecs: dict[str, Codec] = {}
 
 

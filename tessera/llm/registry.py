@@ -1,8 +1,9 @@
 """The queries of this subpackage by name, and DuckDB SQL where SQL can express them."""
 
-from . import bpe, exact_dedup, mixing, simhash, toxicity
+from . import bpe, exact_dedup, mixing, repair, simhash, toxicity
 
 QUERIES = {
+    "op1_repair_ids": repair.op1_repair_ids,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_bpe": bpe.op6_bpe,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
