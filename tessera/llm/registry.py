@@ -1,9 +1,11 @@
 """The queries of this subpackage by name, and DuckDB SQL where SQL can express them."""
 
-from . import bpe, exact_dedup, mixing, repair, simhash, toxicity
+from . import ann, bpe, exact_dedup, mixing, repair, simhash, toxicity, url_templates
 
 QUERIES = {
     "op1_repair_ids": repair.op1_repair_ids,
+    "op2_url_templates": url_templates.op2_url_templates,
+    "op4_ann": ann.op4_ann,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_bpe": bpe.op6_bpe,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
