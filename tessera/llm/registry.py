@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and DuckDB SQL where SQL can express them."""
 
-from . import ann, bpe, exact_dedup, mixing, repair, simhash, toxicity, url_templates
+from . import ann, bpe, exact_dedup, mixing, repair, simhash, substring_dedup, toxicity, url_templates
 
 QUERIES = {
     "op1_repair_ids": repair.op1_repair_ids,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_bpe": bpe.op6_bpe,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_mixing": mixing.op8_mixing,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_simhash": simhash.op10_simhash,
 }
 
