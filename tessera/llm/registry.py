@@ -1,10 +1,11 @@
 """The queries of this subpackage by name, and DuckDB SQL where SQL can express them."""
 
-from . import ann, bpe, exact_dedup, mixing, repair, simhash, substring_dedup, toxicity, url_templates
+from . import ann, bpe, exact_dedup, mixing, repair, sanitise, simhash, substring_dedup, toxicity, url_templates
 
 QUERIES = {
     "op1_repair_ids": repair.op1_repair_ids,
     "op2_url_templates": url_templates.op2_url_templates,
+    "op3_sanitise": sanitise.op3_sanitise,
     "op4_ann": ann.op4_ann,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_bpe": bpe.op6_bpe,
