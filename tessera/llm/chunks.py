@@ -81,7 +81,8 @@ class ChunkCoder:
             at[unknown] = [self.index[chunks[i]] for i in unknown.tolist()]
         size = self.size[at]
         stop = np.cumsum(size)
-        flat = self.flat[np.repeat(self.begin[at] - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)]
+        total = int(stop[-1]) if len(stop) else 0
+        flat = self.flat[np.repeat((self.begin[at] - (stop - size)).astype(np.int32), size) + np.arange(total, dtype=np.int32)]
         ends = stop[np.cumsum([len(s) for s in split]) - 1] if split else []
         return np.split(flat, ends[:-1]) if len(ends) else []
 

@@ -53,15 +53,19 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = ROUNDS,
     rule's number, where no overlapping pair is more frequent. It ends when no pair is frequent enough, after `rounds`,
     or when the symbols would exceed `most`.
     """
-    seq, last = ids.astype(np.int64), last.copy()
+    narrow = most <= 1 << 16  # pairs of 16-bit symbols fit 32 bits
+    seq, last = ids.astype(np.uint32 if narrow else np.uint64), last.copy()
+    shift = seq.dtype.type(16 if narrow else 32)
+    spread = seq.dtype.type(0x9E3779B1 if narrow else 0x9E3779B97F4A7C15)
+    drop = seq.dtype.type(8 * seq.itemsize - SLOT_BITS)
     rules: list[np.ndarray] = []
     n_rules = 0
     for _ in range(rounds):
         room = min(ROUND_RULES, most - base - n_rules)
         if room <= 0 or len(seq) < 2:
             break
-        key = seq[:-1] << 32 | seq[1:]
-        slot = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+        key = seq[:-1] << shift | seq[1:]
+        slot = ((key * spread) >> drop).astype(np.int64)
         slot[last[:-1]] = 1 << SLOT_BITS
         hits = np.bincount(slot, minlength=(1 << SLOT_BITS) + 1)[:-1]
         full = np.flatnonzero(hits >= LEAST_COUNT)
@@ -73,12 +77,12 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = ROUNDS,
         chosen[full] = np.arange(len(full))
         rank = chosen[slot]
         here = np.flatnonzero(rank >= 0)
-        rank = rank[here].astype(np.int64)
-        pairs = np.zeros(len(full), np.int64)
+        rank = rank[here]
+        pairs = np.zeros(len(full), seq.dtype)
         pairs[rank[::-1]] = key[here[::-1]]
         true = pairs[rank] == key[here]
         here, rank = here[true], rank[true]
-        prio = np.full(len(seq) + 1, len(full) + 1, np.int64)
+        prio = np.full(len(seq) + 1, len(full) + 1, np.int32)
         prio[here] = rank
         before = np.where(here > 0, prio[here - 1], len(full) + 1)
         here = here[(rank < before) & (rank <= prio[here + 1])]
@@ -89,7 +93,7 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = ROUNDS,
         if not len(here):
             break
         kept = pairs[worth]
-        rules.append(np.stack([kept >> 32, kept & 0xFFFFFFFF], axis=1))
+        rules.append(np.stack([kept >> shift, kept & ((seq.dtype.type(1) << shift) - seq.dtype.type(1))], axis=1).astype(np.int64))
         seq[here] = base + n_rules + number[prio[here]]
         last[here] = last[here + 1]
         stay = np.ones(len(seq), bool)
