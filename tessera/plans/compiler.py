@@ -222,7 +222,7 @@ class Compiler:
         left = self.joined(ready) if ready else Relation(self.spark.range(1).select(), {})
         for call in rels:
             if not isinstance(call, Relation):
-                left = R.join(left, call(left)) if ready else call(left)
+                left = call(left)
         return left
 
     def candidates(self, w: Wanted) -> list[Source]:

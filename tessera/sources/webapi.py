@@ -14,8 +14,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.expressions import str_of
-from ..operators.relation import Relation
-from ..terms import Var
+from ..operators import relation as R
+from ..operators.relation import Binding, Relation
+from ..terms import STRING, Iri, Var
 from .base import Source, Wanted
 from .table import TableSource, from_context
 
@@ -35,6 +36,13 @@ def expand_uri(template: str, values: dict[str, str | None]) -> str:
     return re.sub(r"\{([+/?&]?)([\w,]+)\}", one, template)
 
 
+def member(item: dict, path: str):
+    """A member by its path (`a.b`); null where an object on the way is missing."""
+    for key in path.split("."):
+        item = item.get(key) if isinstance(item, dict) else None
+    return item
+
+
 def fetch(url: str) -> str:
     with urllib.request.urlopen(url, timeout=30) as r:  # noqa: S310 - the configured API
         return r.read().decode()
@@ -43,8 +51,8 @@ def fetch(url: str) -> str:
 @dataclass
 class Api:
     """template: the URI; inputs: template names by the predicate that gives their value; columns: members read, with
-    Spark types; items: path to the list of items in a response; page: name of the page parameter, from first_page on,
-    until an empty page; interval: least seconds between a task's requests."""
+    Spark types, by their path; items: path to the list of items in a response; page: name of the page parameter, from first_page on,
+    until an empty page; serializers: how inputs are written; interval: least seconds between a task's requests."""
 
     template: str
     inputs: dict[str, str]
@@ -52,8 +60,10 @@ class Api:
     items: list[str] = field(default_factory=list)
     page: str | None = None
     first_page: int = 1
+    page_step: int = 1
     interval: float = 0.0
     get: Callable[[str], str] = fetch
+    serializers: dict[str, Callable[[str], str]] = field(default_factory=dict)
 
 
 class WebApiSource(Source):
@@ -83,41 +93,46 @@ class WebApiSource(Source):
                     while True:
                         time.sleep(max(0.0, last + api.interval - time.monotonic()))
                         last = time.monotonic()
-                        data = json.loads(api.get(expand_uri(api.template, row | ({api.page: page} if api.page else {}))))
+                        sent = {n: api.serializers[n](v) if n in api.serializers else v for n, v in row.items()}
+                        data = json.loads(api.get(expand_uri(api.template, sent | ({api.page: page} if api.page else {}))))
                         for key in api.items:
                             data = data.get(key) or []
                         items = data if isinstance(data, list) else [data]
-                        out += [{**{c: i.get(c) for c in api.columns}, **{n: row[n] for n in names}} for i in items]
+                        out += [{**{c: member(i, c) for c in api.columns}, **{n: row[n] for n in names}} for i in items]
                         if not api.page or not items:
                             break
-                        page += 1
+                        page += api.page_step
                     if out:
                         yield pd.DataFrame(out)[fields]
 
         return inputs.distinct().mapInPandas(ask, ", ".join(f"`{f}` {api.columns.get(f, 'string')}" for f in fields))
 
     def bound_star(self, wanted: list[Wanted], left: Relation, compiler) -> Relation:
-        """The star for the inputs that left binds or the patterns state."""
-        cols = {}
+        """left joined with the star, for the inputs that left binds or the patterns state.
+
+        An input's pattern holds for what was asked: answers come back to the rows that asked, by the input's text.
+        """
+        texts, stars = {}, []
+        asked = {}
         for predicate, name in self.api.inputs.items():
             w = next((w for w in wanted if w.predicates and predicate in w.predicates), None)
             if w is None or isinstance(w.o, Var) and w.o.name not in left.vars:
                 raise ValueError(f"{self.name} needs a bound value of {predicate}")
-            cols[name] = str_of((left.col(w.o.name), left.vars[w.o.name])) if isinstance(w.o, Var) else F.lit(w.o.lex if hasattr(w.o, "lex") else w.o.value)
-        table = from_context(self.rows(left.df.select(*[c.alias(n) for n, c in cols.items()])), self.context, self.name, unique=False)
+            texts[name] = str_of((left.col(w.o.name), left.vars[w.o.name])) if isinstance(w.o, Var) else F.lit(w.o.lex if hasattr(w.o, "lex") else w.o.value)
+            asked[w] = name
+        for w in wanted:
+            if w in asked:
+                hidden = "urn:input:" + asked[w]
+                w = Wanted(w.s, Iri(hidden), Var(f".in {asked[w]}"), frozenset({hidden}), None)
+            stars.append(w)
+        cols = [left.col(v).alias(v) for v in left.vars] + [c.alias(f".in {n}") for n, c in texts.items()]
+        asking = Relation(left.df.select(*cols), left.vars | {f".in {n}": Binding("lit", dt=STRING) for n in texts})
+        context = self.context | {"@context": self.context["@context"] | {n: f"urn:input:{n}" for n in texts}}
+        table = from_context(self.rows(asking.df.select(*[F.col(f"`.in {n}`").alias(n) for n in texts])), context, self.name, unique=False)
         table.mapping.unique = True  # an item is a row; its patterns belong together
         needed = compiler.needed | {w.s.name for w in wanted if isinstance(w.s, Var)}
-        inputs = {w: w.o for w in wanted if w.predicates and w.predicates & self.required}
-        out = table.star([w for w in wanted if w not in inputs or table.may_match(w)], needed)
-        # Input values are text in requests: give them back the shape that the query has them in.
-        for w, o in inputs.items():
-            if isinstance(o, Var) and o.name in out.vars and o.name in left.vars:
-                shape, kind = left.vars[o.name], dict(left.df.dtypes)[o.name]
-                text = str_of((out.col(o.name), out.vars[o.name]))
-                key = F.substring(text, len(shape.prefix) + 1, 1 << 20) if shape.kind == "iri" else text
-                if shape.kind != "term":
-                    out = Relation(out.df.withColumn(o.name, key.try_cast(kind)), out.vars | {o.name: shape})
-        return out
+        out = R.join(asking, table.star(stars, needed))
+        return R.project(out, [v for v in out.vars if not v.startswith(".in ")])
 
     def star(self, wanted: list[Wanted], needed: set[str]) -> Relation:
         raise ValueError(f"{self.name} needs bound inputs")
