@@ -15,4 +15,4 @@ QUERIES = {
     "op10_simhash": simhash.op10_simhash,
 }
 
-ORACLE_SQL = {"op7_exact_dedup": exact_dedup.OP7_SQL, "op8_mixing": mixing.OP8_SQL}
+ORACLE_SQL = {"op2_url_templates": url_templates.OP2_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL, "op8_mixing": mixing.OP8_SQL}

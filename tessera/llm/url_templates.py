@@ -86,3 +86,36 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
 
 def op2_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
+
+
+def _sql() -> str:
+    """The same rows in DuckDB SQL: a pair of steps for each level of the tree."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    cases = []
+    for verdict, rule in sorted(RULES, key=lambda r: (-len(r[1]), r[1])):
+        at, _, rest = rule.partition("/")
+        cases.append((f"(host = '{at}' OR ends_with(host, '.{at}')) AND starts_with(path, '/{rest}')", rule, verdict))
+    pick = lambda i: "CASE " + " ".join(f"WHEN {c[0]} THEN '{c[i]}'" for c in cases) + " END"
+    item = ITEM.replace("(?:", "(")
+    steps = [
+        "u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)",
+        f"h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{upper}', '{upper.lower()}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u)",
+        f"t0 AS (SELECT *, {pick(1)} AS rule, {pick(2)} AS ruled, string_split(regexp_replace(path, '^/', ''), '/') AS s, '' AS template FROM h)",
+    ]
+    for d in range(1, DEPTH + 1):
+        steps += [
+            f"l{d} AS (SELECT *, CASE WHEN len(s) >= {d} THEN CASE WHEN regexp_matches(s[{d}], '{item}') THEN '*' ELSE s[{d}] END END AS seg FROM t{d - 1})",
+            f"w{d} AS (SELECT host, template FROM (SELECT host, template, seg, count(*) AS n FROM l{d} WHERE seg IS NOT NULL GROUP BY ALL) GROUP BY ALL HAVING count(*) >= {WIDE_CHILDREN} AND count(*) >= {WIDE_SHARE} * sum(n))",
+            f"t{d} AS (SELECT l.* EXCLUDE (seg, template), l.template || CASE WHEN seg IS NULL THEN '' WHEN w.host IS NOT NULL THEN '/*' ELSE '/' || seg END AS template FROM l{d} l LEFT JOIN w{d} w ON l.host = w.host AND l.template = w.template)",
+        ]
+    steps += [
+        f"p AS (SELECT * EXCLUDE (template), template || CASE WHEN len(s) > {DEPTH} THEN '/**' ELSE '' END AS template FROM t{DEPTH})",
+        "b AS (SELECT host, template, count(*) FILTER (ruled = 'block') AS bad, count(*) FILTER (ruled = 'allow') AS good, regexp_replace(template, '/[^/*]+', '/~', 'g') AS shape FROM p GROUP BY host, template)",
+        "f AS (SELECT *, sum(bad) OVER v / nullif(sum(bad) OVER v + sum(good) OVER v, 0) AS share FROM b WINDOW v AS (PARTITION BY host, shape))",
+        f"c AS (SELECT *, CASE WHEN bad + good > 0 AND abs(bad / (bad + good) - share) <= {SIMILAR} * sqrt(share * (1 - share) / (bad + good)) THEN '~' || shape ELSE template END AS cluster FROM f)",
+        f"d AS (SELECT host, template, (sum(bad) OVER v + {PRIOR / 2}) / (sum(bad) OVER v + sum(good) OVER v + {PRIOR}) AS bad_share FROM c WINDOW v AS (PARTITION BY host, cluster))",
+    ]
+    return f"WITH {', '.join(steps)} SELECT page_id, p.host, path, rule, coalesce(ruled, CASE WHEN bad_share >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict, p.template, bad_share::DOUBLE AS bad_share FROM p JOIN d ON p.host = d.host AND p.template = d.template"
+
+
+OP2_SQL = _sql()
