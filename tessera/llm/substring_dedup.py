@@ -21,6 +21,8 @@ CHUNK = 1 << 20
 INDEX_BYTES = 1 << 21
 #: Different snippets of one anchor that may meet in one index; beyond, the anchor is split.
 ANCHOR_SNIPPETS = 2048
+#: Window starts of a split anchor that are compared across its indexes at once.
+CELL = 32
 #: Rows that are broadcast to the texts at most; beyond, texts are shuffled.
 BROADCAST_ROWS = 2_000_000
 
@@ -28,14 +30,14 @@ _TABLE = np.array([xxhash.xxh64_intdigest(bytes([i]), 9) for i in range(256)], n
 _STEP = 0x9E3779B97F4A7C15
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(lo, hi, fingerprint): the window starts lo to hi (inclusive) whose `length` bytes have one anchor.
+def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(lo, hi, fingerprint, place): the window starts lo to hi (inclusive) whose `length` bytes have the anchor at place.
 
     A window's anchor is its substring of `gram` bytes (a power of two) with the least hash, the leftmost of equals;
     it depends on the window's bytes alone, so equal windows have equal anchors at equal places.
     """
     n = len(data) - length + 1
-    los, his, fps = [], [], []
+    los, his, fps, places = [], [], [], []
     width = length - gram + 1
     for at in range(0, max(n, 0), CHUNK):
         starts = min(CHUNK, n - at)
@@ -56,8 +58,9 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
         los.append(lo + at)
         his.append(np.r_[lo[1:] - 1, starts - 1] + at)
         fps.append(h[place[lo]].view(np.int64))
+        places.append(place[lo] + at)
     none = np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) if x else none for x in (los, his, fps))
+    return tuple(np.concatenate(x) if x else none for x in (los, his, fps, places))
 
 
 class RunLengthIndex:
@@ -152,8 +155,8 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
-DOC_SCHEMA = "doc_id long, text binary, n_bytes long, sha binary, mlo array<int>, mhi array<int>, lo array<int>, hi array<int>, fp array<long>, sh array<long>, n array<int>"
-_KINDS = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), *[pa.list_(pa.int32())] * 4, *[pa.list_(pa.int64())] * 2, pa.list_(pa.int32())]
+DOC_SCHEMA = "doc_id long, text binary, n_bytes long, sha binary, mlo array<int>, mhi array<int>, lo array<int>, hi array<int>, place array<int>, fp array<long>, sh array<long>, n array<int>"
+_KINDS = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), *[pa.list_(pa.int32())] * 5, *[pa.list_(pa.int64())] * 2, pa.list_(pa.int32())]
 
 
 def _surveyed(length: int, gram: int):
@@ -161,10 +164,10 @@ def _surveyed(length: int, gram: int):
 
     A snippet that occurs again in its own document is marked at once at all its places.
     """
-    names = ["doc_id", "text", "n_bytes", "sha", "mlo", "mhi", "lo", "hi", "fp", "sh", "n"]
+    names = ["doc_id", "text", "n_bytes", "sha", "mlo", "mhi", "lo", "hi", "place", "fp", "sh", "n"]
 
     def of(doc_id: int | None, text: bytes) -> tuple:
-        lo, hi, fp = anchors(np.frombuffer(text, np.uint8), length, gram)
+        lo, hi, fp, place = anchors(np.frombuffer(text, np.uint8), length, gram)
         digest = xxhash.xxh3_64_intdigest
         sh = np.fromiter((digest(text[a : b + length]) for a, b in zip(lo.tolist(), hi.tolist())), np.uint64, len(lo)).view(np.int64)
         order = np.lexsort((lo, sh, fp))
@@ -174,7 +177,7 @@ def _surveyed(length: int, gram: int):
         again = order[np.repeat(count, count) > 1]
         again.sort()
         keep = order[at]
-        return doc_id, text, len(text), hashlib.sha256(text).digest(), lo[again], hi[again], lo[keep], hi[keep], fp[keep], sh[keep], count
+        return doc_id, text, len(text), hashlib.sha256(text).digest(), lo[again], hi[again], lo[keep], hi[keep], place[keep], fp[keep], sh[keep], count
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -192,35 +195,44 @@ def _surveyed(length: int, gram: int):
     return run
 
 
+INDEXED = "rid long, lo long, hi long, fp long, cell int, core long, h array<long>, open array<boolean>"
+
+
 def _indexed(length: int):
-    """Marks the repeated window starts of snippets (group, rid, lo, alone, split, fp, snippet), met by group.
+    """Marks the repeated window starts of snippets (group, rid, lo, place, alone, split, fp, snippet), met by group.
 
-    Emits (rid, lo, hi, fp, h): marked starts of snippets that occur once (alone) with fp null; and for split anchors,
-    whose snippets meet in several indexes, one row per window that is not marked yet, or is the first of its kind
-    here, with the hash of its bytes (lo is null where it is marked already).
+    Emits (rid, lo, hi): marked starts of snippets that occur once (alone). For split anchors, whose snippets meet in
+    several indexes, also what other indexes must know: per snippet and cell, CELL window starts at fixed places before
+    the anchor, a hash of the bytes that all windows of the cell share (core), a hash of each window, and which windows
+    still lack a match (open). Cells without open windows are needed once per index only.
     """
-    names = ["rid", "lo", "hi", "fp", "h"]
+    names = ["rid", "lo", "hi", "fp", "cell", "core", "h", "open"]
+    kinds = [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_())]
+    digest = lambda x: xxhash.xxh3_64_intdigest(x) - (1 << 63)
+
+    def cells(rid: int, lo: int, place: int, alone: bool, fp: int, text: bytes, hit: np.ndarray) -> Iterator[tuple]:
+        n = len(hit)
+        for cell in range((place - lo - n + 1) // CELL, (place - lo) // CELL + 1):
+            last = place - cell * CELL - lo  # the cell's starts are last - CELL + 1 to last, as far as the snippet has them
+            a, b = max(0, last - CELL + 1), min(n - 1, last)
+            core = text[last : last - CELL + 1 + length]
+            yield rid, lo + a, None, fp, cell, digest(core), [digest(text[i : i + length]) for i in range(a, b + 1)], [alone and not m for m in hit[a : b + 1].tolist()]
 
     def marked(rows: list[tuple]) -> pa.RecordBatch:
-        index = RunLengthIndex([r[5] for r in rows])
+        index = RunLengthIndex([r[6] for r in rows])
         long = index.matches() >= length
-        out = []
-        for (rid, lo, alone, split, fp, text), at in zip(rows, index.begin.tolist()):
+        out: list[tuple] = []
+        seen: set[tuple] = set()
+        for (rid, lo, place, alone, split, fp, text), at in zip(rows, index.begin.tolist()):
             hit = long[at : at + len(text) - length + 1]
             if alone:
-                out += [(rid, lo + a, lo + b, None, None) for a, b in zip(*(x.tolist() for x in _runs(hit)))]
-            if split:
-                out += [(rid, lo + i if alone and not m else None, lo + i, fp, xxhash.xxh3_64_intdigest(text[i : i + length]) - (1 << 63)) for i, m in enumerate(hit.tolist())]
-        seen: set[tuple[int, int]] = set()
-        kept = []
-        for r in out:
-            if r[3] is not None and r[1] is None:
-                if (r[3], r[4]) in seen:
-                    continue
-                seen.add((r[3], r[4]))
-            kept.append(r)
-        cols = list(zip(*kept)) if kept else [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], names)
+                out += [(rid, lo + a, lo + b, None, None, None, None, None) for a, b in zip(*(x.tolist() for x in _runs(hit)))]
+            for c in cells(rid, lo, place, alone, fp, text, hit) if split else ():
+                known = (c[3], c[4], *c[6])
+                if any(c[7]) or known not in seen:
+                    out.append(c)
+                    seen.add(known)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out) if out else [()] * 8, kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, group = [], 0, None
@@ -231,7 +243,7 @@ def _indexed(length: int):
                     held, size = [], 0
                 group = row[0]
                 held.append(row[1:])
-                size += len(row[6])
+                size += len(row[7])
         if held:
             yield marked(held)
 
@@ -274,11 +286,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
        anchors with one snippet need nothing more.
     3. One copy each of the different snippets of an anchor meet in an index (RunLengthIndex), which marks the windows
        that match elsewhere. Anchors with very many snippets are split over several indexes; what these leave unmarked
-       is compared across them by the hash of the window, again with sums.
+       is compared across them: first by the bytes that CELL neighbouring windows share, then window by window where
+       those occur again, each time with sums.
     """
     spark = docs.sparkSession
     base = staged(only(docs, "doc_id", "text").mapInArrow(_surveyed(length, gram), DOC_SCHEMA).withColumn("rid", F.monotonically_increasing_id()), "substring")
-    every = base.select("rid", F.inline(F.arrays_zip("lo", "hi", "fp", "sh", "n")))
+    every = base.select("rid", F.inline(F.arrays_zip("lo", "hi", "place", "fp", "sh", "n")))
     kinds = every.groupBy("fp", "sh").agg(F.sum("n").alias("c"), F.min("rid").alias("r"))
     of_anchor = kinds.groupBy("fp").agg(F.count("*").alias("d"), F.sum("c").alias("all")).where(F.col("all") > 1).select("fp", "d")
     wanted = staged(kinds.join(of_anchor, "fp"), "substring-kinds")
@@ -288,14 +301,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     shares = F.greatest(F.lit(1), F.ceil(2 * F.col("d") / ANCHOR_SNIPPETS)).cast("long")
     split = F.col("d") > ANCHOR_SNIPPETS
     group = F.xxhash64("fp", F.when(split, F.pmod(F.xxhash64("sh"), shares)).otherwise(F.lit(0)))
-    need = staged(need.select("rid", "lo", "hi", group.alias("group"), (F.col("c") == 1).alias("alone"), split.alias("split"), "fp"), "substring-need")
-    snippets = _met(base.select("rid", "text"), need, "rid").select("group", "rid", F.col("lo").cast("long").alias("lo"), "alone", "split", "fp", F.expr(f"substring(text, lo + 1, hi - lo + {length})").alias("snippet"))
+    need = staged(need.select("rid", "lo", "hi", "place", group.alias("group"), (F.col("c") == 1).alias("alone"), split.alias("split"), "fp"), "substring-need")
+    snippets = _met(base.select("rid", "text"), need, "rid").select("group", "rid", F.col("lo").cast("long").alias("lo"), F.col("place").cast("long").alias("place"), "alone", "split", "fp", F.expr(f"substring(text, lo + 1, hi - lo + {length})").alias("snippet"))
     dealt = snippets.repartition(shuffle_partitions(spark), "group").sortWithinPartitions("group")
-    indexed = staged(dealt.mapInArrow(_indexed(length), "rid long, lo long, hi long, fp long, h long"), "substring-indexed")
-    across = indexed.where("fp IS NOT NULL")
-    twice = across.groupBy("fp", "h").agg(F.count("*").alias("k")).where("k > 1").select("fp", "h")
-    late = across.where("lo IS NOT NULL").join(twice, ["fp", "h"]).select("rid", "lo", "hi")
-    marks = found.where("c > 1").select("rid", "lo", "hi").union(indexed.where("fp IS NULL").select("rid", "lo", "hi")).union(late)
+    indexed = staged(dealt.mapInArrow(_indexed(length), INDEXED), "substring-indexed")
+    cells = indexed.where("cell IS NOT NULL")
+    shared = cells.groupBy("fp", "cell", "core").agg(F.count("*").alias("k")).where("k > 1").select("fp", "cell", "core")
+    likely = cells.join(shared, ["fp", "cell", "core"], "left_semi").select("rid", "lo", "fp", F.posexplode(F.arrays_zip("h", "open")))
+    windows = likely.select("rid", (F.col("lo") + F.col("pos")).alias("lo"), "fp", "col.h", "col.open")
+    twice = windows.groupBy("fp", "h").agg(F.count("*").alias("k")).where("k > 1").select("fp", "h")
+    late = windows.where("open").join(twice, ["fp", "h"]).select("rid", "lo", F.col("lo").alias("hi"))
+    marks = found.where("c > 1").select("rid", "lo", "hi").union(indexed.where("cell IS NULL").select("rid", "lo", "hi")).union(late)
     marks = marks.union(base.select("rid", F.inline(F.arrays_zip("mlo", "mhi")))).select("rid", F.struct(F.col("lo").cast("int").alias("a"), F.col("hi").cast("int").alias("b")).alias("m"))
     per_doc = staged(marks.groupBy("rid").agg(F.collect_list("m").alias("m")).select("rid", F.col("m.a").alias("a"), F.col("m.b").alias("b")), "substring-marks")
     stripped = _met(base.select("rid", "doc_id", "text"), per_doc, "rid").select("doc_id", "text", "a", "b").mapInArrow(_stripped(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
