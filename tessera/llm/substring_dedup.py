@@ -23,8 +23,8 @@ INDEX_BYTES = 1 << 21
 ANCHOR_SNIPPETS = 2048
 #: Window starts of a split anchor that are compared across its indexes at once.
 CELL = 32
-#: Rows that are broadcast to the texts at most; beyond, texts are shuffled.
-BROADCAST_ROWS = 2_000_000
+#: Rows, and intervals in them, that are broadcast to the texts at most; beyond, texts are shuffled.
+BROADCAST_ROWS, BROADCAST_INTERVALS = 2_000_000, 4_000_000
 
 _TABLE = np.array([xxhash.xxh64_intdigest(bytes([i]), 9) for i in range(256)], np.uint64)
 _STEP = 0x9E3779B97F4A7C15
@@ -270,9 +270,10 @@ def _stripped(length: int):
     return run
 
 
-def _met(texts: DataFrame, rows: DataFrame, on: str) -> DataFrame:
-    """texts joined with rows: broadcast up to a checked count, by a shuffle beyond."""
-    return texts.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, on)
+def _met(texts: DataFrame, rows: DataFrame, on: str, intervals: str | None = None) -> DataFrame:
+    """texts joined with rows: broadcast up to a checked count of rows and of their intervals, by a shuffle beyond."""
+    n, held = rows.agg(F.count("*"), F.coalesce(F.sum(F.size(intervals)) if intervals else F.lit(0), F.lit(0))).first()
+    return texts.join(F.broadcast(rows) if n <= BROADCAST_ROWS and held <= BROADCAST_INTERVALS else rows, on)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -314,7 +315,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     marks = found.where("c > 1").select("rid", "lo", "hi").union(indexed.where("cell IS NULL").select("rid", "lo", "hi")).union(late)
     marks = marks.union(base.select("rid", F.inline(F.arrays_zip("mlo", "mhi")))).select("rid", F.struct(F.col("lo").cast("int").alias("a"), F.col("hi").cast("int").alias("b")).alias("m"))
     per_doc = staged(marks.groupBy("rid").agg(F.collect_list("m").alias("m")).select("rid", F.col("m.a").alias("a"), F.col("m.b").alias("b")), "substring-marks")
-    stripped = _met(base.select("rid", "doc_id", "text"), per_doc, "rid").select("doc_id", "text", "a", "b").mapInArrow(_stripped(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    stripped = _met(base.select("rid", "doc_id", "text"), per_doc, "rid", "a").select("doc_id", "text", "a", "b").mapInArrow(_stripped(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     ids = per_doc.select("rid")
     whole = base.select("rid", "doc_id", "n_bytes", "sha").join(ids, "rid", "left_anti")
     return stripped.union(whole.select("doc_id", "n_bytes", F.lit(0).cast("long"), F.lit(0).cast("long"), F.lower(F.hex("sha"))))
