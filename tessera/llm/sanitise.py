@@ -48,10 +48,11 @@ def _holds(kind: Column, match: Column) -> Column:
 def _cut(text: Column, kind: str, pattern: str, hint: str | None) -> Column:
     """An array of (kind, at, gap, length, match, before, after) of the pattern's matches; gap: characters since the last one."""
     there = text.rlike(hint) if hint else F.lit(True)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    one = lambda m, i: F.struct(F.lit(kind).alias("kind"), i.alias("at"), F.length(F.get(gaps, i)).alias("gap"), F.length(m).alias("length"), m.alias("match"), F.right(F.get(gaps, i), F.lit(CONTEXT_CHARS)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(CONTEXT_CHARS)).alias("after"))
-    return F.when(there, F.transform(found, one)).otherwise(F.array().cast("array<struct<kind:string,at:int,gap:int,length:int,match:string,before:string,after:string>>"))
+    # Matches and gaps are zipped first: what a lambda names from outside is evaluated anew for each element.
+    zipped = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), gaps.alias("g"), F.slice(gaps, 2, 1 << 30).alias("n"))
+    one = lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("at"), F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("length"), x["m"].alias("match"), F.right(x["g"], F.lit(CONTEXT_CHARS)).alias("before"), F.left(x["n"], F.lit(CONTEXT_CHARS)).alias("after"))
+    return F.when(there, F.filter(F.transform(zipped, one), lambda x: x["match"].isNotNull())).otherwise(F.array().cast("array<struct<kind:string,at:int,gap:int,length:int,match:string,before:string,after:string>>"))
 
 
 def _placed(rows: DataFrame, *keys: str) -> DataFrame:
