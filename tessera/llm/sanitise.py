@@ -93,15 +93,15 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, documents: int, least_do
     pairs = seen.groupBy("e", "term").agg(F.count("*").alias("both")).where(F.col("both") >= least_docs)
     entities = spans.select("dk", entity.alias("e")).distinct().groupBy("e").agg(F.count("*").alias("with_e"))
     pairs = staged(pairs.join(entities, "e"), "pii-pairs")
-    terms = pairs.select("term").distinct()
+    # Words are counted before they meet the pairs; only terms that disclose are then looked up in documents.
     text = F.coalesce("text", F.lit(""))
     words = only(docs, "doc_id", "text").select(F.xxhash64("doc_id", text).alias("dk"), F.explode(F.array_distinct(_words(text))).alias("term"))
-    holding = staged(words.join(terms, "term", "left_semi").distinct(), "pii-terms")
-    frequency = holding.groupBy("term").agg(F.count("*").alias("with_t"))
+    frequency = words.groupBy("term").agg(F.count("*").alias("with_t")).where(F.col("with_t") >= least_docs)
     bits = F.greatest(F.log(F.lit(float(documents)) / F.col("with_e")), F.lit(1e-9))
     share = 1 + F.log(F.least(F.lit(1.0), F.col("both") / F.col("with_t"))) / bits
     revealing = pairs.where(F.col("with_e") * 2 <= documents).join(frequency, "term").withColumn("share", share).where(F.col("share") >= disclosure)
-    return staged(holding.join(revealing.groupBy("term").agg(F.max("share").alias("share")), "term").select("dk", "term", "share"), "pii-disclosing")
+    revealing = staged(revealing.groupBy("term").agg(F.max("share").alias("share")), "pii-terms")
+    return staged(words.join(revealing, "term").distinct(), "pii-disclosing")
 
 
 def term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
