@@ -22,21 +22,20 @@ BLOCKS = 6
 PIVOTS = 16
 #: Runs of fingerprints with equal key up to this length are compared by offset, longer ones by probing.
 SHORT_RUN = 128
-#: For similarities rather than a few bits: the fingerprint's width, the number of bit samples that bring texts
-#: together, and the bits of each. At similarity 0.8, 0.95 of pairs meet; at 0.9, over 0.999.
-WIDTH, BANDS, BAND_BITS = 256, 40, 16
+#: For similarities rather than a few bits: the fingerprint's width, and the standard deviations beyond the expected
+#: distance from which a pair is no candidate (at 6, fewer than one in ten million pairs at the similarity itself).
+WIDTH, DEVIATIONS = 256, 6.0
+#: Documents whose shingles are counted to find frequent ones, the share of them that makes a shingle frequent, and how
+#: many are kept. These only order shingles: results are the same whatever is found.
+SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 20_000, 0.001, 50_000
 
 
-def shingle_counts(text: str | None, words: int, width: int = 64) -> tuple[int, np.ndarray]:
-    """The number of the text's word shingles, and for each of width bits in how many of their hashes it is set.
-
-    A-Z are lower-cased. Bits beyond the first 64 come from the same hash, mixed anew for every 64.
-    """
+def _hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """The hashes of the text's word shingles, CHUNK at a time. A-Z are lower-cased."""
     tokens = (text or "").encode("utf-8", "replace").lower().split()
     n = len(tokens)
-    ones = np.zeros(width, np.int64)
     if not n:
-        return 0, ones
+        return
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, n) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1]
@@ -45,17 +44,39 @@ def shingle_counts(text: str | None, words: int, width: int = 64) -> tuple[int,
     digest = xxhash.xxh64_intdigest
     for at in range(0, k, CHUNK):
         i, j = starts[at : min(k, at + CHUNK)].tolist(), stops[at : at + CHUNK].tolist()
-        h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(i, j)), np.uint64, len(i))
-        for w in range(0, width, 64):
-            octets = (_mixed(h, w // 64) if w else h).view(np.uint8).reshape(-1, 8)
-            if len(h) > 512:
-                for o in range(8):
-                    ones[w + 8 * o : w + 8 * o + 8] += np.bincount(octets[:, o], minlength=256) @ _OCTET_BITS
-            else:
-                ones[w : w + 64] += np.unpackbits(octets, axis=1, bitorder="little").sum(0, dtype=np.int64)
+        yield np.fromiter((digest(joined[a:b], SEED) for a, b in zip(i, j)), np.uint64, len(i))
+
+
+def _ones(h: np.ndarray, width: int) -> np.ndarray:
+    """For each of width bits in how many of the hashes it is set.
+
+    Bits beyond the first 64 come from the same hash, mixed anew for every 64.
+    """
+    ones = np.zeros(width, np.int64)
+    for w in range(0, width, 64):
+        octets = (_mixed(h, w // 64) if w else h).view(np.uint8).reshape(-1, 8)
+        if len(h) > 512:
+            for o in range(8):
+                ones[w + 8 * o : w + 8 * o + 8] += np.bincount(octets[:, o], minlength=256) @ _OCTET_BITS
+        else:
+            ones[w : w + 64] += np.unpackbits(octets, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return ones
+
+
+def shingle_counts(text: str | None, words: int, width: int = 64) -> tuple[int, np.ndarray]:
+    """The number of the text's word shingles, and for each of width bits in how many of their hashes it is set."""
+    k, ones = 0, np.zeros(width, np.int64)
+    for h in _hashes(text, words):
+        k += len(h)
+        ones += _ones(h, width)
     return k, ones
 
 
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct hashes of the text's word shingles, ascending."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *_hashes(text, words)]))
+
+
 def _mixed(h: np.ndarray, n: int) -> np.ndarray:
     z = h + np.uint64(n * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -220,7 +241,9 @@ def _linked(bits: int, width: int, pivots: int, free: list[int] | None):
         if free:  # rows come sorted by (t, key); binary search needs the values in unsigned order within a run
             order = np.lexsort((fp[:, 0], key, t))
             t, key, node, fp = t[order], key[order], node[order], fp[order]
-        return t, key, node, fp
+        same = (t[1:] == t[:-1]) & (key[1:] == key[:-1])
+        met = np.r_[False, same] | np.r_[same, False]  # what is alone with its key links to nothing
+        return t[met], key[met], node[met], fp[met]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -266,45 +289,121 @@ def near_links(nodes: DataFrame, bits: int = 2, blocks: int = BLOCKS, pivots: in
     return _met(rows, _linked(bits, 64, pivots, [((1 << 64) - 1) ^ m for m in fixed]))
 
 
-def band_links(nodes: DataFrame, bits: int, width: int, bands: int = BANDS, band_bits: int = BAND_BITS, pivots: int = PIVOTS) -> DataFrame:
-    """Like near_links for distances too wide for blocks: values that agree on all bits of one of many fixed bit samples.
+def radius(similarity: float, width: int) -> int:
+    """Differing bits of width up to which texts are candidates for such a Jaccard similarity of their shingle sets.
 
-    Which bits a band takes is fixed (a hash order of their numbers). Two fingerprints at distance d of `width` miss
-    every band with probability (1 - (1 - d / width) ** band_bits) ** bands.
+    At similarity s of sets of equal size (others are nearer) bits differ independently with p = arccos(2s / (1 + s)) / pi.
     """
-    cols = _columns(width)
-    schema = "t int, key long, node long, " + ", ".join(f"{c} long" for c in cols)
-    rows = nodes.select("node", *cols).mapInArrow(_banded(width, bands, band_bits), schema)
-    return _met(rows, _linked(bits, width, pivots, None))
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(np.ceil(width * p + DEVIATIONS * (width * p * (1 - p)) ** 0.5))
 
 
-def _banded(width: int, bands: int, band_bits: int):
-    picked = [sorted(range(width), key=lambda i: xxhash.xxh64_intdigest(f"{t}:{i}".encode(), SEED))[:band_bits] for t in range(bands)]
-    names = ["t", "key", "node", *_columns(width)]
+def _frequent(texts: DataFrame, words: int) -> np.ndarray:
+    """Shingles of many documents, ascending, by a sample of the texts."""
+    total = texts.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [c.to_numpy(zero_copy_only=False).view(np.uint64) for c in b.columns[1:]]
-            for t, bits in enumerate(picked):
-                key = np.zeros(b.num_rows, np.uint64)
-                for k, i in enumerate(bits):
-                    key |= (words[i // 64] >> np.uint64(i % 64) & np.uint64(1)) << np.uint64(k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, t, np.int32)), pa.array(key.view(np.int64)), *b.columns], names)
+            sets = [shingle_set(t.as_py(), words) for t in b.column(0)]
+            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
+    every = max(1, total // SAMPLE_DOCS)
+    some = texts.where(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).select("text").mapInArrow(run, "h long, n long")
+    least = max(8, int(FREQUENT * total / every))
+    top = some.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).collect()
+    return np.sort(np.array([r["h"] for r in top], np.int64).view(np.uint64))
+
+
+def _sketches(words: int, similarity: float, width: int, frequent: np.ndarray):
+    """Of each text: its shingle set's digest and fingerprint, and the set's first shingles, frequent ones coming last.
+
+    Sets of similarity s share at least s of either set, so that they share one of the first n - ceil(s n) + 1 of n
+    shingles in any order that is the same for all sets.
+    """
+    names = ["row", "doc_id", "d0", "d1", *_columns(width), "first"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, digests, firsts = [], [], []
+            for t in b.column(2):
+                h = shingle_set(t.as_py(), words)
+                fps.append(np.packbits(_ones(h, width) * 2 > len(h), bitorder="little").view("<u8"))
+                digests.append(np.frombuffer(xxhash.xxh3_128_digest(h.tobytes(), SEED), "<i8"))
+                if len(frequent):
+                    often = frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] == h
+                    h = np.concatenate([h[~often], h[often]])
+                firsts.append(h[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1].view(np.int64))
+            fp = np.array(fps, np.uint64).reshape(-1, width // 64)
+            digest = np.array(digests, np.int64).reshape(-1, 2)
+            ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
+            first = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])))
+            columns = [np.ascontiguousarray(c) for c in (*digest.T, *fp.T.view(np.int64))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, columns), first], names)
 
     return run
 
 
-def radius(similarity: float, width: int) -> int:
-    """Differing bits of width that texts of such Jaccard similarity show on average, plus one standard deviation."""
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(width * p + (width * p * (1 - p)) ** 0.5)
+def _alike(sets: list[np.ndarray], similarity: float, width: int) -> np.ndarray:
+    """For each set the position of the first one that it reaches by links of exact Jaccard similarity or more.
 
+    What a group has not reached yet is compared with each of its members in turn: many near copies take few rounds.
+    """
+    root = np.arange(len(sets))
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    fps = np.stack([np.packbits(_ones(h, width) * 2 > len(h), bitorder="little").view("<u8") for h in sets])
+    bits = radius(similarity, width)
+    left = np.arange(len(sets))
+    while len(left):
+        first, left, queue = left[0], left[1:], [left[0]]
+        while queue and len(left):
+            x = queue.pop()
+            fits = np.minimum(size[left], size[x]) >= similarity * np.maximum(size[left], size[x]) - 1e-9
+            near = np.flatnonzero(fits & (distance(fps[left], fps[x]) <= bits))
+            hit = []
+            for at in range(0, len(near), 256):
+                part = near[at : at + 256]
+                flat = np.concatenate([sets[i] for i in left[part]])
+                found = np.r_[0, np.cumsum(sets[x][np.minimum(np.searchsorted(sets[x], flat), size[x] - 1)] == flat)]
+                ends = np.r_[0, np.cumsum(size[left[part]])]
+                both = found[ends[1:]] - found[ends[:-1]]
+                hit.append(part[both >= similarity * (size[left[part]] + size[x] - both) - 1e-9])
+            new = np.concatenate([np.zeros(0, np.int64), *hit])
+            root[left[new]] = first
+            queue += left[new].tolist()
+            left = np.delete(left, new)
+    return root
+
+
+def _verified(words: int, similarity: float, width: int):
+    """(node, root) from (component, node, text), met whole by component: root names what is linked by exact similarity."""
 
-def _grouped(prints: DataFrame, width: int, links) -> DataFrame:
-    """prints with component_id: the smallest doc_id reachable. links: from distinct (node, f0, ...) to pairs of nodes."""
-    cols = _columns(width)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, sets = None, [], []
+
+        def settled() -> pa.RecordBatch:
+            names = np.array(nodes, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[_alike(sets, similarity, width)])], ["node", "root"])
+
+        for b in batches:
+            for component, node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if component != now and nodes:
+                    yield settled()
+                    nodes, sets = [], []
+                now = component
+                nodes.append(node)
+                sets.append(shingle_set(text.as_py(), words))
+        if nodes:
+            yield settled()
+
+    return run
+
+
+def _grouped(prints: DataFrame, links) -> DataFrame:
+    """prints with component_id: the smallest doc_id reachable. links: from distinct (node, f0) to pairs of nodes."""
+    cols = _columns(64)
     distinct = prints.groupBy(*cols).agg(F.min("doc_id").alias("least"))
-    nodes = staged(distinct.withColumn("node", F.col("f0") if width == 64 else F.monotonically_increasing_id()), "simhash-nodes")
+    nodes = staged(distinct.withColumn("node", F.col("f0")), "simhash-nodes")
     reach = components(links(nodes.select("node", *cols)).distinct()).withColumnRenamed("node", "n")
     linked = nodes.join(reach, F.col("node") == F.col("n")).select(*cols, "component", "least")
     named = linked.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -321,19 +420,31 @@ def simhash_dedup(docs: DataFrame, words: int = 3, bits: int = 2, blocks: int =
     Null doc_ids don't name a component unless it has no other. Equal fingerprints are one node, so copies cost nothing.
     """
     prints = staged(only(docs, "doc_id", "text").mapInArrow(_fingerprints(words, 64), "doc_id long, f0 long"), "simhash")
-    out = _grouped(prints, 64, lambda nodes: near_links(nodes, bits, blocks, pivots))
+    out = _grouped(prints, lambda nodes: near_links(nodes, bits, blocks, pivots))
     return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = WIDTH, bands: int = BANDS, band_bits: int = BAND_BITS, pivots: int = PIVOTS) -> DataFrame:
-    """doc_id, component_id: documents grouped by estimated Jaccard similarity of word shingles, by wide fingerprints.
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = WIDTH, pivots: int = PIVOTS) -> DataFrame:
+    """doc_id, component_id: documents grouped by links of Jaccard similarity or more between their sets of word shingles.
 
-    Fingerprints of `width` bits link at radius(similarity, width) or fewer differing bits, the distance that stands
-    for the similarity. Texts without words have similarity to nothing but each other. Rows as in simhash_dedup.
+    Candidates share one of their first shingles (which sets so similar always do) and have fingerprints of `width` bits
+    within radius(similarity, width). What candidates connect is brought together, and only links that the sets
+    themselves confirm count. Equal sets are one node; texts without words are alike. Rows as in simhash_dedup.
     """
-    schema = "doc_id long, " + ", ".join(f"{c} long" for c in _columns(width))
-    prints = staged(only(docs, "doc_id", "text").mapInArrow(_fingerprints(words, width), schema), "simhash")
-    return _grouped(prints, width, lambda nodes: band_links(nodes, radius(similarity, width), width, bands, band_bits, pivots)).select("doc_id", "component_id")
+    cols = _columns(width)
+    texts = staged(only(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "similar-texts")
+    schema = "row long, doc_id long, d0 long, d1 long, " + ", ".join(f"{c} long" for c in cols) + ", first array<long>"
+    prints = staged(texts.mapInArrow(_sketches(words, similarity, width, _frequent(texts, words)), schema), "similar")
+    nodes = staged(prints.groupBy("d0", "d1").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "similar-nodes")
+    met = prints.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.lit(0).alias("t"), F.explode("first").alias("key"), F.col("row").alias("node"), *cols)
+    near = components(_met(met, _linked(radius(similarity, width), width, pivots, None)).distinct())
+    held = texts.join(near.withColumnRenamed("node", "row"), "row").select("component", F.col("row").alias("node"), "text")
+    dealt = held.repartition(shuffle_partitions(docs.sparkSession), "component").sortWithinPartitions("component", "node")
+    roots = staged(dealt.mapInArrow(_verified(words, similarity, width), "node long, root long"), "similar-roots")
+    named = nodes.join(roots, "node").groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = roots.join(named, "root").select("node", "component_id", F.lit(True).alias("linked"))
+    whole = nodes.join(linked, "node", "left").select("d0", "d1", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+    return prints.join(whole, ["d0", "d1"]).select("doc_id", "component_id")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

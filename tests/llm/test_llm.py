@@ -131,6 +131,32 @@ def test_wide_fingerprints_group_near_copies(spark, monkeypatch, short):
     assert all(got[i] == i - i % 2 for i in range(40))
 
 
+def test_similar_documents_are_what_brute_force_links(spark):
+    rng = np.random.default_rng(4)
+    words = [f"t{i}" for i in range(5000)]
+    line = " ".join(words[:12])
+    texts = [None, "", " ", "One two three", "one  two three", "one two four"]
+    for k in range(60):  # similarities from some 0.65 to 0.95 with the first of three, and a line that many share
+        t = list(rng.choice(words, 120))
+        texts.append(" ".join(t) + (" " + line if k % 2 else ""))
+        for _ in range(2):
+            near = list(t)
+            at = int(rng.integers(0, 90))
+            near[at : at + int(rng.integers(1, 25))] = ["changed"]
+            texts.append(" ".join(near) + (" " + line if k % 2 else ""))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for t in texts)]
+    forest, near_misses, links = simhash._Forest(len(texts)), 0, 0
+    for i in range(len(texts)):
+        for j in range(i):
+            s = len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] | sets[j] else 1.0
+            if s >= 0.8:
+                forest.join(np.array([j]), np.array([i]))
+            links, near_misses = links + (0.8 <= s < 0.85), near_misses + (0.7 <= s < 0.8)
+    assert links > 5 and near_misses > 5
+    got = {r["doc_id"]: r["component_id"] for r in collect(simhash.similar_documents(table(spark, texts)))}
+    assert got == {i: forest.find(i) for i in range(len(texts))}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 501)], "a long, b long")
     got = {r.node: r.component for r in shared.components(edges).collect()}
