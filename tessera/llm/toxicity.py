@@ -14,16 +14,18 @@ from pyspark.sql import functions as F
 
 from .shared import only, staged, table
 
-#: Labelled rows that lexicon and classifier are fitted on, at most (those with the smallest hash of the id).
+#: Labelled rows that the regression is fitted on, at most (those with the smallest hash of the id).
 FIT_ROWS = 20_000
-#: Terms of the lexicon, at most; documents that must hold a term among the toxic ones, at least; smallest log odds.
-MAX_TERMS, LEAST_DOCS, LEAST_ODDS = 256, 3, 3.0
+#: Documents that must hold a term among the toxic ones, at least; smallest log odds.
+LEAST_DOCS, LEAST_ODDS = 3, 3.0
 #: Terms of fewer letters match exactly only.
 FUZZY_LETTERS = 5
 #: Tokens on either side of a hit that are its context.
 WINDOW = 8
-#: Words that the automata have classified, kept per worker at most.
-SEEN_WORDS = 400_000
+#: Words that the automata have classified, and states that one has made, kept per worker at most; more are made anew.
+SEEN_WORDS, MOST_STATES = 400_000, 200_000
+#: The state from which no term is reached.
+DEAD = 1
 
 TOKEN = re.compile(r"[^\W_]+(?:[@$*!'][^\W_]+)*")
 QUOTE_MARKS = "\"“”„«»‘’"
@@ -35,7 +37,7 @@ class LexiconAutomaton:
     """A deterministic automaton for all words within edit distance of a lexicon's terms.
 
     Its states are sets of (trie node, errors) pairs: the Levenshtein automaton of the unread word intersected with the
-    lexicon's trie, so that each word is read once, whatever the number of terms. Insertion, deletion, substitution
+    lexicon's trie, so that each word is read once, whatever the number of terms; they are made as words need them. Insertion, deletion, substitution
     and transposition of neighbours count one each; terms under FUZZY_LETTERS letters allow no error, others one.
     """
 
@@ -58,57 +60,73 @@ class LexiconAutomaton:
             at_end[node] = k
             for p in path:
                 longest[p] = max(longest[p], len(t))
-        alphabet = sorted({c for t in self.terms for c in t})
-        self.classes = np.full(0x110000, len(alphabet), np.uint16)
-        self.classes[[ord(c) for c in alphabet]] = np.arange(len(alphabet))
+        self.children, self.at_end, self.longest = children, at_end, longest
+        self.alphabet = sorted({c for t in self.terms for c in t})
+        self.classes = np.full(0x110000, len(self.alphabet), np.uint16)
+        self.classes[[ord(c) for c in self.alphabet]] = np.arange(len(self.alphabet))
         self.max_length = max([len(t) for t in self.terms], default=0) + 1
-
-        def closed(items: set) -> frozenset:
-            """With deletions: skipping a letter of the term costs one error."""
-            out = set(items)
-            for node, e, held in items:
-                if e == 0 and held is None and longest[node] >= FUZZY_LETTERS:
-                    out |= {(n, 1, None) for n in children[node].values()}
-            return frozenset(out)
-
-        def step(state: frozenset, c: str | None) -> frozenset:
-            out = set()
-            for node, e, held in state:
-                kids = children[node]
-                if held is not None:  # the second half of a transposition: c must be the letter that was skipped
-                    if c == held[0]:
-                        out.add((held[1], 1, None))
-                    continue
-                if c in kids:
-                    out.add((kids[c], e, None))
-                if e == 0 and longest[node] >= FUZZY_LETTERS:
-                    out.add((node, 1, None))
-                    for d, n in kids.items():
-                        out.add((n, 1, None))
-                        if c in children[n]:
-                            out.add((node, 1, (d, children[n][c])))
-            return closed(out)
-
-        start = closed({(0, 0, None)})
-        ids = {start: 0}
-        order = [start]
-        rows: list[list[int]] = []
-        for state in order:  # grows while it is read
-            row = []
-            for c in [*alphabet, None]:
-                nxt = step(state, c)
-                if nxt not in ids:
-                    ids[nxt] = len(ids)
-                    order.append(nxt)
-                row.append(ids[nxt])
-            rows.append(row)
-        self.table = np.array(rows, np.int32)
-        self.distance = np.full(len(order), 9, np.int8)
-        self.term = np.full(len(order), -1, np.int32)
-        for i, state in enumerate(order):
-            best = min(((e, at_end[n]) for n, e, held in state if held is None and n in at_end and (e == 0 or len(self.terms[at_end[n]]) >= FUZZY_LETTERS)), default=None)
-            if best:
-                self.distance[i], self.term[i] = best
+        self._restart()
+
+    def _restart(self) -> None:
+        """Only the start state (0) and the dead one (1); others are made when a word first needs them."""
+        self.ids: dict[frozenset, int] = {}
+        self.order: list[frozenset] = []
+        self.table = np.full((64, len(self.alphabet) + 1), -1, np.int32)
+        self.distance, self.term = np.full(64, 9, np.int8), np.full(64, -1, np.int32)
+        self._id(self._closed({(0, 0, None)}))
+        self.table[self._id(frozenset())] = DEAD
+
+    def _id(self, state: frozenset) -> int:
+        if state in self.ids:
+            return self.ids[state]
+        i = self.ids[state] = len(self.order)
+        self.order.append(state)
+        if i == len(self.table):
+            self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
+            self.distance, self.term = np.r_[self.distance, np.full(i, 9, np.int8)], np.r_[self.term, np.full(i, -1, np.int32)]
+        at_end = self.at_end
+        best = min(((e, at_end[n]) for n, e, held in state if held is None and n in at_end and (e == 0 or len(self.terms[at_end[n]]) >= FUZZY_LETTERS)), default=None)
+        if best:
+            self.distance[i], self.term[i] = best
+        return i
+
+    def _closed(self, items: set) -> frozenset:
+        """With deletions: skipping a letter of the term costs one error."""
+        out = set(items)
+        for node, e, held in items:
+            if e == 0 and held is None and self.longest[node] >= FUZZY_LETTERS:
+                out |= {(n, 1, None) for n in self.children[node].values()}
+        return frozenset(out)
+
+    def _step(self, state: frozenset, c: str | None) -> frozenset:
+        out = set()
+        for node, e, held in state:
+            kids = self.children[node]
+            if held is not None:  # the second half of a transposition: c must be the letter that was skipped
+                if c == held[0]:
+                    out.add((held[1], 1, None))
+                continue
+            if c in kids:
+                out.add((kids[c], e, None))
+            if e == 0 and self.longest[node] >= FUZZY_LETTERS:
+                out.add((node, 1, None))
+                for d, n in kids.items():
+                    out.add((n, 1, None))
+                    if c in self.children[n]:
+                        out.add((node, 1, (d, self.children[n][c])))
+        return self._closed(out)
+
+    def _next(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        out = self.table[state, code]
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            k = len(self.alphabet)
+            for pair in np.unique(state[new].astype(np.int64) * (k + 1) + code[new]).tolist():
+                i, c = divmod(pair, k + 1)
+                to = self._id(self._step(self.order[i], self.alphabet[c] if c < k else None))
+                self.table[i, c] = to
+            out = self.table[state, code]
+        return out
 
     def match(self, words: list[str]) -> list[tuple[str, int, int]]:
         """(word, term, distance) of the words that the automaton accepts."""
@@ -119,9 +137,11 @@ class LexiconAutomaton:
         code = self.classes[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
         begin = np.cumsum(size) - size
         state = np.zeros(len(words), np.int32)
+        if len(self.order) > MOST_STATES:
+            self._restart()
         for i in range(int(size.max())):
-            live = np.flatnonzero(size > i)
-            state[live] = self.table[state[live], code[begin[live] + i]]
+            live = np.flatnonzero((size > i) & (state != DEAD))
+            state[live] = self._next(state[live], code[begin[live] + i])
         hit = np.flatnonzero(self.term[state] >= 0)
         return [(words[i], int(self.term[state[i]]), int(self.distance[state[i]])) for i in hit]
 
@@ -179,11 +199,11 @@ class Scorer:
 
 
 def _documents_with_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(fold, word, documents of label 0, of label 1) of each batch, from (text, toxic, fold)."""
+    """(fold, word, documents of label 0, of label 1) of each batch, from (text, toxic, fold); the empty word is in all."""
     for b in batches:
         counts: dict[tuple[int, int], Counter] = {}
         for text, toxic, fold in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            counts.setdefault((fold, toxic), Counter()).update({w for w in TOKEN.findall((text or "").lower()) if 3 <= len(w) <= 24})
+            counts.setdefault((fold, toxic), Counter()).update({w for w in TOKEN.findall((text or "").lower()) if 3 <= len(w) <= 24} | {""})
         keys = sorted({(f, w) for (f, _), c in counts.items() for w in c})
         zero = Counter()
         yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in keys], pa.int32()), pa.array([w for _, w in keys], pa.string()), *(pa.array([counts.get((f, t), zero)[w] for f, w in keys], pa.int64()) for t in (0, 1))], ["fold", "word", "clean", "toxic"])
@@ -229,11 +249,10 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
 
 
 def lexicon(counts: DataFrame, clean: int, toxic: int) -> dict[str, float]:
-    """Terms with their log odds from (word, clean, toxic): the strongest MAX_TERMS; ties by word."""
+    """Terms with their log odds from (word, clean, toxic): all that pass."""
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-    rows = counts.where(F.col("toxic") >= LEAST_DOCS).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
-    top = rows.orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "word").limit(MAX_TERMS).collect()
-    return {r["word"]: r["odds"] for r in top}
+    rows = counts.where((F.col("toxic") >= LEAST_DOCS) & (F.col("word") != "")).withColumn("odds", odds)
+    return {r["word"]: r["odds"] for r in rows.where(F.col("odds") >= LEAST_ODDS).collect()}
 
 
 def in_fold_zero(doc_id) -> F.Column:
@@ -244,30 +263,33 @@ def in_fold_zero(doc_id) -> F.Column:
 def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1), predicted.
 
-    Learns from labelled rows that aren't held out only, fit_rows at most: words that mark toxic documents, with their
-    log odds, and a logistic regression on the features of Scorer, each training row under a lexicon learned from the
-    other half of them. Labels with a null id or value don't count; if an id has several, the largest does. Without
-    both labels among the rows, no term is learned and the score is the share of toxic ones (0 without any). An empty
-    or null text gets the score of a text without hits. The score depends on the text alone.
+    Learns from labelled rows that aren't held out only: from all of them the words that mark toxic documents, with
+    their log odds, and from fit_rows at most a logistic regression on the features of Scorer, each training row under
+    a lexicon learned from the half of the labelled rows that it isn't in. Labels with a null id or value don't count;
+    if an id has several, the largest does. Without both labels among the rows, no term is learned and the score is the
+    share of toxic ones (0 without any). An empty or null text gets the score of a text without hits. The score depends
+    on the text alone.
     """
     known = only(labels, "doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(~in_fold_zero(F.col("doc_id")))
-    chosen = staged(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows), "toxic-labels")
-    sample = only(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most fit_rows slim rows
-    sample = staged(sample.select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int").alias("fold")), "toxic-sample")
-    seen = {(r["fold"], r["toxic"]): r["n"] for r in sample.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
+    known = staged(known.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int")), "toxic-labels")
+    texts = only(docs, "doc_id", "text")
+    counts = texts.join(known, "doc_id").select("text", "toxic", "fold").mapInArrow(_documents_with_words, "fold int, word string, clean long, toxic long")
+    by_fold = [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for c in ("clean", "toxic") for f in (0, 1)]
+    counts = staged(counts.groupBy("word").agg(*by_fold).where(f"toxic0 + toxic1 >= {LEAST_DOCS} OR word = ''"), "toxic-words")
+    all_docs = counts.where("word = ''").first()
+    seen = {(f, t): all_docs[f"{c}{f}"] if all_docs else 0 for f in (0, 1) for t, c in enumerate(("clean", "toxic"))}
     total = {t: sum(n for (_, k), n in seen.items() if k == t) for t in (0, 1)}
     if min(total.values()) == 0:
         share = total[1] / max(1, sum(total.values()))
         terms, coefficients = {}, np.zeros(Scorer.FEATURES)
         coefficients[-1] = -30.0 if share == 0 else 30.0 if share == 1 else math.log(share / (1 - share))
     else:
-        counts = sample.mapInArrow(_documents_with_words, "fold int, word string, clean long, toxic long")
-        counts = staged(counts.groupBy("fold", "word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("toxic > 0"), "toxic-words")
-        half = [lexicon(counts.where(F.col("fold") == 1 - f), seen.get((1 - f, 0), 0), seen.get((1 - f, 1), 0)) for f in (0, 1)]
-        whole = counts.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        terms = lexicon(whole, total[0], total[1])
-        rows = sample.mapInArrow(_features(half), "toxic int, x array<double>").collect()  # fit_rows at most
+        half = [lexicon(counts.selectExpr("word", f"clean{1 - f} AS clean", f"toxic{1 - f} AS toxic"), seen[1 - f, 0], seen[1 - f, 1]) for f in (0, 1)]
+        terms = lexicon(counts.selectExpr("word", "clean0 + clean1 AS clean", "toxic0 + toxic1 AS toxic"), total[0], total[1])
+        chosen = staged(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows), "toxic-chosen")
+        sample = texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic", "fold")  # at most fit_rows slim rows
+        rows = sample.mapInArrow(_features(half), "toxic int, x array<double>").collect()
         coefficients = logistic(np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float))
     scored = only(docs, "doc_id", "text").mapInArrow(_scored(LexiconAutomaton(terms), coefficients, ["doc_id", "score"]), "doc_id long, score double")
     return scored.select("doc_id", in_fold_zero(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -337,6 +337,23 @@ def test_toxicity_learns(spark):
     assert len(none) == 402 and all(r["predicted"] == 0 for r in none)
 
 
+def test_lexicon_has_every_term_of_all_labelled_rows(spark):
+    slurs = [f"{a}{b}slur" for a in "bcdfghjklmnpqrstvwxz" for b in ("ab", "ec", "id", "of", "ug", "an", "et", "ik", "ol", "us", "ap", "er", "im", "os", "ut")]
+    texts = [f"a plain text number {i}" if i % 2 else f"you {slurs[i // 2 % 300]} number {i}" for i in range(8000)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(8000)], "doc_id long, toxic int")
+    got = collect(toxicity.toxicity(table(spark, texts), labels, fit_rows=100))
+    assert all(r["predicted"] == 1 - r["doc_id"] % 2 for r in got)
+
+
+def test_automaton_makes_states_anew(monkeypatch):
+    words = [f"{a}{b}slurs" for a in "bcdfg" for b in "aeiou"]
+    tried = [*words, *(w[1:] for w in words), *(w + "x" for w in words), *(w[:2] + w[3] + w[2] + w[4:] for w in words), "nothing"]
+    want = toxicity.LexiconAutomaton(dict.fromkeys(words, 1.0)).match(tried)
+    monkeypatch.setattr(toxicity, "MOST_STATES", 3)
+    again = toxicity.LexiconAutomaton(dict.fromkeys(words, 1.0))
+    assert [x for t in tried for x in again.match([t])] == want and len(want) == len(tried) - 1
+
+
 # -- 3
 
 def slow_base(t):
