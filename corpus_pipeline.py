@@ -12,31 +12,43 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 WORDS, SIMILARITY = 5, 0.8
 
 
-def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The documents with a doc_id of kept (unique, not null)."""
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a row id of their own, unique and not null, whatever their doc_id."""
+    return shared.staged(docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS), "pipeline-rows")
+
+
+def _keep(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator doesn't reject; it learns from the labels among its own input."""
-    judged = toxicity.toxicity(docs, shared.table(spark, sf_dir, "labels"))
-    return _keep(docs, judged.where("predicted = 0").select("doc_id"))
+    rows = _numbered(docs)
+    judged = toxicity.toxicity(rows, shared.table(spark, sf_dir, "labels"), row="row")
+    return _keep(rows, judged.where("predicted = 0").select("row"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, exact_dedup.exact_dedup(docs).where("kept").select("doc_id"))
+    """Of equal texts the row that the operator keeps; of several with that doc_id the longest one."""
+    rows = _numbered(docs)
+    judged = exact_dedup.exact_dedup(rows.withColumn("less", -F.length("text")), carry=("row", "less")).where("kept")
+    one = judged.groupBy("text_sha256").agg(F.min(F.struct(F.coalesce("less", F.lit(0)).alias("less"), "row")).alias("o"))
+    return _keep(rows, one.select("o.row"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    groups = simhash.similar_documents(docs, WORDS, SIMILARITY)
-    return _keep(docs, groups.where("doc_id = component_id").select("doc_id"))
+    """Of each group of near copies the row with the smallest doc_id stays (a null one counts as larger than any)."""
+    rows = _numbered(docs)
+    groups = simhash.similar_rows(rows, WORDS, SIMILARITY)
+    one = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("o"))
+    return _keep(rows, one.select("o.row"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (never, once or twice)."""
-    taken = mixing.mix(docs).where("taken > 0").select("doc_id", F.expr("CAST(taken div size AS INT)").alias("times"))
-    return docs.join(taken, "doc_id").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+    rows = _numbered(docs)
+    taken = mixing.mix(rows, carry=("row",)).where("taken > 0").select("row", F.expr("CAST(taken div size AS INT)").alias("times"))
+    return rows.join(taken, "row").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -152,8 +152,8 @@ def normalized(text) -> F.Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"[{SPACE_CLASS}]+", "")
 
 
-def exact_dedup(docs: DataFrame, buckets_log2: int = 8, broadcast_limit: int = BROADCAST_FINGERPRINTS) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, buckets_log2: int = 8, broadcast_limit: int = BROADCAST_FINGERPRINTS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and the columns named in carry.
 
     Texts are equal when identical without white space; null counts as empty. Of equal texts the one with the most code
     points, then the smallest doc_id, stays (a null doc_id counts as larger than any). Rows that repeat a doc_id are
@@ -164,8 +164,8 @@ def exact_dedup(docs: DataFrame, buckets_log2: int = 8, broadcast_limit: int = B
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    with_norm = only(docs, "doc_id", "text").select("doc_id", F.length(text).alias("len"), normalized(F.col("text")).alias("norm"))
-    slim = staged(with_norm.select("doc_id", "len", F.xxhash64("norm").alias("fp"), F.unhex(F.sha2("norm", 256)).alias("sha")), "exact")
+    with_norm = only(docs, "doc_id", "text", *carry).select(*carry, "doc_id", F.length(text).alias("len"), normalized(F.col("text")).alias("norm"))
+    slim = staged(with_norm.select(*carry, "doc_id", "len", F.xxhash64("norm").alias("fp"), F.unhex(F.sha2("norm", 256)).alias("sha")), "exact")
     many = staged(repeated_fingerprints(slim.select("fp"), buckets_log2).select("fp"), "exact-many")
     small = many.count() <= broadcast_limit
     candidates = with_norm.withColumn("fp", F.xxhash64("norm")).join(F.broadcast(many) if small else many, "fp", "left_semi")
@@ -182,7 +182,7 @@ def exact_dedup(docs: DataFrame, buckets_log2: int = 8, broadcast_limit: int = B
     classes = classes.select("sha", "group_size", F.when(keep < F.expr(top), keep.cast("long")).alias("keep_id"), F.lit(True).alias("many"))
     out = slim.join(classes, "sha", "left")
     keep_id = F.when(F.col("many"), F.col("keep_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), keep_id.eqNullSafe(F.col("doc_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return out.select("doc_id", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), keep_id.eqNullSafe(F.col("doc_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), *carry)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,39 +46,40 @@ def _prefix(rows: DataFrame, group: list[str], bucket: str, order: list, value:
     return joined.withColumn(out, F.col("_base") + F.sum(value).over(within)).drop("_base")
 
 
-def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), budget_share: float = 1.5, max_repeat: int = 2, seed: str = "mix", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken.
+def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), budget_share: float = 1.5, max_repeat: int = 2, seed: str = "mix", bucket_rows: int = BUCKET_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, and the columns named in carry.
 
     size is the number of words (null or blank text: 0, and such a document is never taken). Within a source documents
     queue in the order of md5(seed, doc_id) and, for sources whose target exceeds their size, queue again up to
     max_repeat times. A queued document's virtual finish time is the source's words up to and with it, divided by the
     source's target; the mix is the queue of all sources in the order of these times, cut where its words exceed the
     budget. Null sources are one source, the last. Reruns agree: the order depends only on doc_id. Rows that repeat a
-    doc_id are documents of their own, told apart by their size. An empty table gives an empty result.
+    doc_id are documents of their own, told apart by their size and carry. An empty table gives an empty result.
     """
     weights = list(weights)
     words = F.coalesce(F.regexp_count("text", F.lit(f"[^{SPACE_CLASS}]+")), F.lit(0)).cast("long")
-    slim = staged(only(docs, "doc_id", "text", "source").select("doc_id", "source", words.alias("size"), F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("key")), "mix")
+    slim = staged(only(docs, "doc_id", "text", "source", *carry).select(*carry, "doc_id", "source", words.alias("size"), F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("key")), "mix")
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = staged(source_targets(sizes, weights, budget_share, max_repeat), "mix-targets")
     rows = slim.count()
     buckets = max(1, -(-rows // bucket_rows))
     ranked = slim.alias("l").join(targets.alias("r"), F.col("l.source").eqNullSafe(F.col("r.source"))).select("l.*", "r.source_size", "r.target", "r.rank", "r.budget")
     ranked = ranked.withColumn("b", F.floor(F.conv(F.substring("key", 1, 12), 16, 10).cast("double") / float(16**12) * buckets).cast("long"))
-    queued = _prefix(ranked, ["rank"], "b", ["key", "doc_id", "size"], "size", "cum")
+    queued = _prefix(ranked, ["rank"], "b", ["key", "doc_id", "size", *carry], "size", "cum")
     queued = queued.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(max_repeat - 1))))
-    queued = staged(queued.where("size > 0").select("doc_id", "size", "rank", "key", "pass", "target", "budget", ((F.col("cum") + F.col("pass") * F.col("source_size")) / F.col("target")).alias("vft")), "mix-queue")
+    queued = staged(queued.where("size > 0").select(*carry, "doc_id", "size", "rank", "key", "pass", "target", "budget", ((F.col("cum") + F.col("pass") * F.col("source_size")) / F.col("target")).alias("vft")), "mix-queue")
     # Finish times are spread evenly over [0, 1] by volume; what comes much later is beyond any budget and shares a bucket range.
     timed = queued.withColumn("b", F.least(F.floor(F.col("vft") * buckets), F.lit(16 * buckets) + F.pmod(F.xxhash64("key"), F.lit(buckets))).cast("long"))
-    cut = _prefix(timed, [], "b", ["vft", "rank", "key", "pass", "size"], "size", "total").where("total <= budget")
-    taken = cut.groupBy("doc_id", "size", "rank").agg(F.sum("size").alias("taken"), F.count("*").alias("n"))
+    cut = _prefix(timed, [], "b", ["vft", "rank", "key", "pass", "size", *carry], "size", "total").where("total <= budget")
+    keys = ["doc_id", "size", "rank", *carry]
+    taken = cut.groupBy(*keys).agg(F.sum("size").alias("taken"), F.count("*").alias("n"))
     rank = targets.select("source", "source_size", "target", "rank")
-    base = slim.alias("l").join(rank.alias("r"), F.col("l.source").eqNullSafe(F.col("r.source"))).select("l.doc_id", "l.size", "r.source_size", "r.target", "r.rank")
-    copies = base.groupBy("doc_id", "size", "rank", "source_size", "target").agg(F.count("*").alias("copies"))
-    out = copies.alias("l").join(taken.alias("r"), F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.size") == F.col("r.size")) & (F.col("l.rank") == F.col("r.rank")), "left")
+    base = slim.alias("l").join(rank.alias("r"), F.col("l.source").eqNullSafe(F.col("r.source"))).select(*[f"l.{c}" for c in carry], "l.doc_id", "l.size", "r.source_size", "r.target", "r.rank")
+    copies = base.groupBy(*keys, "source_size", "target").agg(F.count("*").alias("copies"))
+    out = copies.alias("l").join(taken.alias("r"), [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys], "left")
     out = out.select("l.*", F.coalesce("r.n", F.lit(0)).alias("n"))
     each = F.explode(F.transform(F.sequence(F.lit(1), F.col("copies")), lambda i: F.floor(F.col("n") / F.col("copies")) + F.when(i <= F.col("n") % F.col("copies"), 1).otherwise(0)))
-    return out.select("doc_id", "size", "source_size", "target", each.alias("k")).select("doc_id", "size", "source_size", "target", (F.col("k") * F.col("size")).cast("long").alias("taken"))
+    return out.select(*carry, "doc_id", "size", "source_size", "target", each.alias("k")).select("doc_id", "size", "source_size", "target", (F.col("k") * F.col("size")).cast("long").alias("taken"), *carry)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

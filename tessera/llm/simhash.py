@@ -424,27 +424,34 @@ def simhash_dedup(docs: DataFrame, words: int = 3, bits: int = 2, blocks: int =
     return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = WIDTH, pivots: int = PIVOTS) -> DataFrame:
-    """doc_id, component_id: documents grouped by links of Jaccard similarity or more between their sets of word shingles.
+def similar_rows(texts: DataFrame, words: int = 5, similarity: float = 0.8, width: int = WIDTH, pivots: int = PIVOTS) -> DataFrame:
+    """row, doc_id, group, component_id from (row, doc_id, text), row unique and not null: texts grouped by links of Jaccard similarity or more between their sets of word shingles.
 
     Candidates share one of their first shingles (which sets so similar always do) and have fingerprints of `width` bits
     within radius(similarity, width). What candidates connect is brought together, and only links that the sets
-    themselves confirm count. Equal sets are one node; texts without words are alike. Rows as in simhash_dedup.
+    themselves confirm count. Equal sets are one node; texts without words are alike. A group is named by its smallest
+    row of a node, and component_id as in simhash_dedup.
     """
     cols = _columns(width)
-    texts = staged(only(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "similar-texts")
+    texts = only(texts, "row", "doc_id", "text")
     schema = "row long, doc_id long, d0 long, d1 long, " + ", ".join(f"{c} long" for c in cols) + ", first array<long>"
     prints = staged(texts.mapInArrow(_sketches(words, similarity, width, _frequent(texts, words)), schema), "similar")
     nodes = staged(prints.groupBy("d0", "d1").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "similar-nodes")
     met = prints.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.lit(0).alias("t"), F.explode("first").alias("key"), F.col("row").alias("node"), *cols)
     near = components(_met(met, _linked(radius(similarity, width), width, pivots, None)).distinct())
     held = texts.join(near.withColumnRenamed("node", "row"), "row").select("component", F.col("row").alias("node"), "text")
-    dealt = held.repartition(shuffle_partitions(docs.sparkSession), "component").sortWithinPartitions("component", "node")
+    dealt = held.repartition(shuffle_partitions(texts.sparkSession), "component").sortWithinPartitions("component", "node")
     roots = staged(dealt.mapInArrow(_verified(words, similarity, width), "node long, root long"), "similar-roots")
     named = nodes.join(roots, "node").groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = roots.join(named, "root").select("node", "component_id", F.lit(True).alias("linked"))
-    whole = nodes.join(linked, "node", "left").select("d0", "d1", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
-    return prints.join(whole, ["d0", "d1"]).select("doc_id", "component_id")
+    linked = roots.join(named, "root").select("node", "root", "component_id", F.lit(True).alias("linked"))
+    whole = nodes.join(linked, "node", "left").select("d0", "d1", F.coalesce("root", "node").alias("group"), F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+    return prints.join(whole, ["d0", "d1"]).select("row", "doc_id", "group", "component_id")
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = WIDTH, pivots: int = PIVOTS) -> DataFrame:
+    """doc_id, component_id of each row, as similar_rows groups them."""
+    texts = staged(only(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "similar-texts")
+    return similar_rows(texts, words, similarity, width, pivots).select("doc_id", "component_id")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -225,8 +225,8 @@ def _scored(automaton: LexiconAutomaton, coefficients: np.ndarray, columns: list
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(automaton)
         for b in batches:
-            x = np.array([scorer.features(t.as_py()) for t in b.column(1)], float).reshape(-1, Scorer.FEATURES)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_sigmoid(x @ coefficients))], columns)
+            x = np.array([scorer.features(t.as_py()) for t in b.column(b.num_columns - 1)], float).reshape(-1, Scorer.FEATURES)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(_sigmoid(x @ coefficients))], columns)
 
     return run
 
@@ -260,8 +260,8 @@ def in_fold_zero(doc_id) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """One row per document: doc_id, held_out, score (0 to 1), predicted.
+def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, row: str = "doc_id") -> DataFrame:
+    """One row per document: doc_id, held_out, score (0 to 1), predicted; with `row`, a column of longs, that too.
 
     Learns from labelled rows that aren't held out only: from all of them the words that mark toxic documents, with
     their log odds, and from fit_rows at most a logistic regression on the features of Scorer, each training row under
@@ -291,8 +291,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Da
         sample = texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic", "fold")  # at most fit_rows slim rows
         rows = sample.mapInArrow(_features(half), "toxic int, x array<double>").collect()
         coefficients = logistic(np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float))
-    scored = only(docs, "doc_id", "text").mapInArrow(_scored(LexiconAutomaton(terms), coefficients, ["doc_id", "score"]), "doc_id long, score double")
-    return scored.select("doc_id", in_fold_zero(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    carried = list(dict.fromkeys([row, "doc_id"]))
+    scored = only(docs, *carried, "text").mapInArrow(_scored(LexiconAutomaton(terms), coefficients, [*carried, "score"]), ", ".join(f"{c} long" for c in carried) + ", score double")
+    return scored.select(*carried, in_fold_zero(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

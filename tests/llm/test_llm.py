@@ -467,3 +467,18 @@ def test_pipeline(spark):
     assert mixed.columns == docs.columns and {r.doc_id for r in mixed.select("doc_id").collect()} <= set(texts)
     out = corpus_pipeline.run(spark, DATA)
     assert out.count() > 0 and "ids_sha256" in out.columns
+
+
+def test_pipeline_tells_rows_apart(spark):
+    import corpus_pipeline
+
+    clean = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(8)]
+    # Null ids with different texts, an id with two texts, and identical rows of one id, and of none.
+    data = [(None, clean[0]), (None, clean[1]), (3, clean[2]), (3, clean[3]), (5, clean[4]), (5, clean[4]), (None, clean[5]), (None, clean[5]), (6, clean[6]), (7, clean[7])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    texts = lambda df: sorted(r["text"] for r in collect(df))
+    assert texts(corpus_pipeline.drop_toxic(spark, docs, DATA)) == sorted(t for _, t in data)
+    assert texts(corpus_pipeline.drop_exact_copies(spark, docs, DATA)) == sorted(clean)
+    assert texts(corpus_pipeline.drop_near_copies(spark, docs, DATA)) == sorted(clean)
+    copies = [texts(corpus_pipeline.mix_sources(spark, docs, DATA)).count(t) for t in clean]
+    assert all(c <= 2 * sum(x == t for _, x in data) for c, t in zip(copies, clean)) and sum(copies) >= 10
