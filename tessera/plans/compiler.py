@@ -15,8 +15,6 @@ from ..sources.table import nothing
 from ..terms import DECIMAL, DOUBLE, INTEGER, RDF_TYPE, STRING, Iri, Var
 from . import algebra as A
 
-MAX_STEPS = 200
-
 
 def _compatible(a: Source, b: Source) -> bool:
     """Whether the two may describe one subject."""
@@ -161,19 +159,18 @@ class Compiler:
         return {v: (r.col(v), b) for v, b in r.vars.items()}
 
     def _path(self, n: A.Path) -> Relation:
-        """Pairs reachable by the step: new pairs join the step until none is new; each round is written."""
+        """Pairs reachable by the step: new pairs join all pairs until none is new, so that lengths double; each round is written."""
         self.needed |= {n.start, n.end}
         step = self.node(n.step)
         text = [E.str_of((step.col(v), step.vars[v])) for v in (n.start, n.end)]
         edges = written(step.df.select(text[0].alias("a"), text[1].alias("b")).distinct())
-        pairs, fresh, rounds = edges, edges, 0
-        while n.repeat and rounds < MAX_STEPS:
-            more = fresh.alias("l").join(edges.alias("r"), F.col("l.b") == F.col("r.a")).select(F.col("l.a").alias("a"), F.col("r.b").alias("b")).distinct()
+        pairs, fresh = edges, edges
+        while n.repeat:
+            more = fresh.alias("l").join(pairs.alias("r"), F.col("l.b") == F.col("r.a")).select(F.col("l.a").alias("a"), F.col("r.b").alias("b")).distinct()
             fresh = written(more.join(pairs, ["a", "b"], "left_anti"))
             if fresh.isEmpty():
                 break
             pairs = pairs.union(fresh)
-            rounds += 1
         if n.least == 0:
             ends = edges.select("a").union(edges.select("b")).distinct()
             ground = [t.value for t in (n.s, n.o) if isinstance(t, Iri)]

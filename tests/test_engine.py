@@ -131,6 +131,13 @@ def test_projection_of_unbound(people):
     assert ask(people, "SELECT ?x ?zz WHERE { ?x a :Cat }") == [("http://e.x/cat", None)]
 
 
+def test_paths_of_any_length(spark):
+    chain = "@prefix : <http://e.x/> . " + " ".join(f":n{i} :next :n{i + 1} ." for i in range(230))
+    fed = Federation(spark).add_source(from_turtle(spark, chain, "chain"))
+    assert fed.query(EX + "SELECT ?x ?y WHERE { ?x :next+ ?y }").count() == 230 * 231 // 2
+    assert fed.query(EX + "SELECT ?y WHERE { :n0 :next* ?y }").count() == 231
+
+
 def test_ntriples_and_parquet_store(spark, tmp_path):
     (tmp_path / "a.nt").write_text('<http://e.x/s> <http://e.x/p> "x\\"y\\n\\u00e9\\\\"@EN . # note\n_:b <http://e.x/p> <http://e.x/o> .\n\n<http://e.x/s> <http://e.x/q> "1"^^<http://www.w3.org/2001/XMLSchema#int> .\n')
     source = rdf_file(spark, str(tmp_path / "a.nt"))
