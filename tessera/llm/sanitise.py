@@ -20,8 +20,6 @@ PATTERNS = {
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
 OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 WORD = r"[\p{L}\p{N}]+"
-#: Words on either side of an entity that count as occurring with it, taken from so many characters.
-CONTEXT_WORDS, CONTEXT_CHARS = 4, 64
 #: Documents that a term must share with an entity, and the share of the entity's information from which it discloses it.
 LEAST_DOCS, DISCLOSURE = 3, 0.9
 #: From this share on a disclosing term is removed, below it is generalised.
@@ -46,13 +44,13 @@ def _holds(kind: Column, match: Column) -> Column:
 
 
 def _cut(text: Column, kind: str, pattern: str, hint: str | None) -> Column:
-    """An array of (kind, at, gap, length, match, before, after) of the pattern's matches; gap: characters since the last one."""
+    """An array of (kind, at, gap, length, match) of the pattern's matches; gap: characters since the last one."""
     there = text.rlike(hint) if hint else F.lit(True)
     gaps = F.split(text, pattern, -1)
     # Matches and gaps are zipped first: what a lambda names from outside is evaluated anew for each element.
-    zipped = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), gaps.alias("g"), F.slice(gaps, 2, 1 << 30).alias("n"))
-    one = lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("at"), F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("length"), x["m"].alias("match"), F.right(x["g"], F.lit(CONTEXT_CHARS)).alias("before"), F.left(x["n"], F.lit(CONTEXT_CHARS)).alias("after"))
-    return F.when(there, F.filter(F.transform(zipped, one), lambda x: x["match"].isNotNull())).otherwise(F.array().cast("array<struct<kind:string,at:int,gap:int,length:int,match:string,before:string,after:string>>"))
+    zipped = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), gaps.alias("g"))
+    one = lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("at"), F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("length"), x["m"].alias("match"))
+    return F.when(there, F.filter(F.transform(zipped, one), lambda x: x["match"].isNotNull())).otherwise(F.array().cast("array<struct<kind:string,at:int,gap:int,length:int,match:string>>"))
 
 
 def _placed(rows: DataFrame, *keys: str) -> DataFrame:
@@ -63,14 +61,14 @@ def _placed(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def base_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): rows has (rid, doc_id, dk) per document, spans (rid, dk, kind, start, end, match, before, after)."""
+    """(rows, spans): rows has (rid, doc_id, dk) per document, spans (rid, dk, kind, start, end, match)."""
     text = F.coalesce("text", F.lit(""))
     base = only(docs, "doc_id", "text").select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("dk"))
     cuts = F.concat(*[_cut(F.col("text"), k, PATTERNS[k], HINTS[k]) for k in KINDS[:4]])
     rows = staged(base.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "dk", cuts.alias("cuts")), "pii")
     each = rows.where(F.size("cuts") > 0).select("rid", "dk", F.inline("cuts"))
     placed = _placed(each, "rid", "kind").where(_holds(F.col("kind"), F.col("match")))
-    return rows.select("rid", "doc_id", "dk"), staged(placed.select("rid", "dk", "kind", "start", "end", "match", "before", "after"), "pii-spans")
+    return rows.select("rid", "doc_id", "dk"), staged(placed.select("rid", "dk", "kind", "start", "end", "match"), "pii-spans")
 
 
 def _words(text: Column) -> Column:
@@ -80,26 +78,29 @@ def _words(text: Column) -> Column:
 def disclosing_terms(docs: DataFrame, spans: DataFrame, documents: int, least_docs: int = LEAST_DOCS, disclosure: float = DISCLOSURE) -> DataFrame:
     """(dk, term, share): the terms of each document that disclose some entity, over all documents.
 
-    For an entity e and a word t near it, share = 1 + log p(e|t) / log(1 / p(e)): 1 if all documents with t have e,
+    For an entity e and a word t of the same documents, wherever in them, share = 1 + log p(e|t) / log(1 / p(e)): 1 if all documents with t have e,
     0 if t tells nothing about e. Words count that occur with e in least_docs documents; shares from `disclosure` on
     disclose. Frequencies are of documents, over the whole corpus.
     """
     if not documents:
         return spans.select("dk", F.col("match").alias("term"), F.lit(0.0).alias("share")).limit(0)
     entity = F.xxhash64("kind", F.when(F.col("kind") == "email", F.lower("match")).otherwise(F.regexp_replace("match", r"[^0-9.]", "")))
-    whole = lambda words, n: F.filter(words, lambda w: F.length(w) >= n)
-    near = F.array_distinct(F.concat(F.slice(F.reverse(whole(_words(F.col("before")), 3)), 1, CONTEXT_WORDS), F.slice(whole(_words(F.col("after")), 3), 1, CONTEXT_WORDS)))
-    seen = spans.select("dk", entity.alias("e"), "before", "after").select("dk", "e", F.explode(near).alias("term")).distinct()
-    pairs = seen.groupBy("e", "term").agg(F.count("*").alias("both")).where(F.col("both") >= least_docs)
-    entities = spans.select("dk", entity.alias("e")).distinct().groupBy("e").agg(F.count("*").alias("with_e"))
-    pairs = staged(pairs.join(entities, "e"), "pii-pairs")
-    # Words are counted before they meet the pairs; only terms that disclose are then looked up in documents.
+    held = staged(spans.select("dk", entity.alias("e")).distinct(), "pii-entities")
+    entities = held.groupBy("e").agg(F.count("*").alias("with_e")).where((F.col("with_e") >= least_docs) & (F.col("with_e") * 2 <= documents))
+    held = held.join(entities, "e")
+    bits = F.greatest(F.log(F.lit(float(documents)) / F.col("with_e")), F.lit(1e-9))
+    # As both <= with_e, a word in more documents than this can't disclose e.
+    most = F.col("with_e") * F.exp((1 - disclosure) * bits) * (1 + 1e-9)
+    # Words are counted before they meet entities, and only those rare enough do; terms that disclose are then looked up.
     text = F.coalesce("text", F.lit(""))
     words = only(docs, "doc_id", "text").select(F.xxhash64("doc_id", text).alias("dk"), F.explode(F.array_distinct(_words(text))).alias("term"))
-    frequency = words.groupBy("term").agg(F.count("*").alias("with_t")).where(F.col("with_t") >= least_docs)
-    bits = F.greatest(F.log(F.lit(float(documents)) / F.col("with_e")), F.lit(1e-9))
+    highest = held.agg(F.max(most)).first()[0] or 0.0
+    frequency = staged(words.groupBy("term").agg(F.count("*").alias("with_t")).where((F.col("with_t") >= least_docs) & (F.col("with_t") <= highest)), "pii-words")
+    near = words.join(held.select("dk").distinct(), "dk", "left_semi").where(F.length("term") >= 3).distinct().join(frequency, "term")
+    pairs = near.join(held.withColumn("most", most), "dk").where(F.col("with_t") <= F.col("most"))
+    pairs = pairs.groupBy("e", "term", "with_e", "with_t").agg(F.count("*").alias("both")).where(F.col("both") >= least_docs)
     share = 1 + F.log(F.least(F.lit(1.0), F.col("both") / F.col("with_t"))) / bits
-    revealing = pairs.where(F.col("with_e") * 2 <= documents).join(frequency, "term").withColumn("share", share).where(F.col("share") >= disclosure)
+    revealing = pairs.withColumn("share", share).where(F.col("share") >= disclosure)
     revealing = staged(revealing.groupBy("term").agg(F.max("share").alias("share")), "pii-terms")
     return staged(words.join(revealing, "term").distinct(), "pii-disclosing")
 

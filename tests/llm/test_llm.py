@@ -390,6 +390,13 @@ def test_disclosing_terms_and_redaction(spark):
     assert clean[0] == "contact [TERM] at [EMAIL] about item 0" and clean[5] == texts[5]
 
 
+def test_terms_disclose_from_anywhere_in_the_text(spark):
+    texts = [f"quaxley {'filler words ' * (12 * (i % 2))}wrote to a@b.org q@corp.org about item {i}" for i in range(4)] + [f"filler words wrote about item {i}" for i in range(60)]
+    got = {r["doc_id"]: r for r in collect(sanitise.find_pii(table(spark, texts)))}
+    assert all(got[i]["spans"].endswith(",term:0:7") and got[i]["n_term"] == 1 for i in range(4))
+    assert all(got[i]["n_term"] == 0 for i in range(4, 64))
+
+
 # -- 2 and 4
 
 def slow_rule(url):
