@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -25,9 +26,15 @@ SHORT_RUN = 128
 #: For similarities rather than a few bits: the fingerprint's width, and the standard deviations beyond the expected
 #: distance from which a pair is no candidate (at 6, fewer than one in ten million pairs at the similarity itself).
 WIDTH, DEVIATIONS = 256, 6.0
-#: Documents whose shingles are counted to find frequent ones, the share of them that makes a shingle frequent, and how
-#: many are kept. These only order shingles: results are the same whatever is found.
-SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 20_000, 0.001, 50_000
+#: Shingles counted at once by a task, the count over all texts from which a shingle can be known as frequent, and how many
+#: such are kept. They only order shingles: results are the same whatever is found.
+COUNTED, LEAST_FREQUENT, MOST_FREQUENT = 4_000_000, 8, 200_000
+#: From this count on, texts with a shingle aren't paired by it in one task but are candidates of each other as a whole.
+HOT_SHINGLE = 20_000
+#: Texts, and shingles in them, that are compared within one task. Larger groups of candidates are probed by rounds.
+TOGETHER, TOGETHER_SHINGLES = 4096, 4_000_000
+#: Texts of such a group that meet its probes in one task, and probes of the first round and of later ones.
+PROBED_TEXTS, FIRST_PROBES, PROBES = 8192, 16, 512
 
 
 def _hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
@@ -181,8 +188,8 @@ def _probe(fps: np.ndarray, coords: np.ndarray, lo: int, hi: int, free: int, bit
 def _led(fps: np.ndarray, lo: int, hi: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links that connect whatever is connected within bits in the run fps[lo:hi], for runs of many near copies.
 
-    The first fingerprint not yet reached becomes a pivot and links all within bits; only pairs of different pivots'
-    groups are then compared, a block at a time, until one link joins the groups.
+    The first fingerprint not yet reached becomes a pivot and links all within bits; pairs of different pivots' groups
+    are then compared, blocks of rows against all later ones, and one link for each two groups comes out of a block.
     """
     left = np.arange(lo, hi)
     groups: list[np.ndarray] = []
@@ -191,22 +198,24 @@ def _led(fps: np.ndarray, lo: int, hi: int, bits: int) -> Iterator[tuple[np.ndar
         groups.append(left[near])
         yield np.full(int(near.sum()) - 1, left[0]), left[near][1:]
         left = left[~near]
-    for i, g in enumerate(groups):
-        for at in range(0, len(g), 4096):
-            block = g[at : at + 4096]
-            for j in range(i):
-                other = groups[j]
-                step = max(1, 4_000_000 // len(block))
-                for k in range(0, len(other), step):
-                    x, y = np.nonzero(distance(fps[block][:, None, :], fps[other[k : k + step]][None, :, :]) <= bits)
-                    if len(x):
-                        yield block[x[:1]], other[k : k + step][y[:1]]
-                        break
+    rows = np.concatenate(groups)
+    group = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+    ends = np.cumsum([len(g) for g in groups])
+    for at in range(0, len(rows), 64):
+        block, later = rows[at : at + 64], int(ends[group[at]])
+        for k in range(later, len(rows), 1 << 16):
+            other = rows[k : k + (1 << 16)]
+            apart = np.zeros((len(block), len(other)), np.int16)
+            for w in range(fps.shape[1]):
+                apart += np.bitwise_count(fps[block, w][:, None] ^ fps[other, w][None, :])
+            x, y = np.nonzero((apart <= bits) & (group[at : at + 64, None] < group[None, k : k + (1 << 16)]))
+            _, first = np.unique(group[at + x] * len(groups) + group[k + y], return_index=True)
+            yield block[x[first]], other[y[first]]
 
 
 def _linked(bits: int, width: int, pivots: int, free: list[int] | None):
     """Links within runs of equal (t, key). free: for each t the bits in which a run's members can differ, if few."""
-    refs = references(pivots, width)
+    refs, short = references(pivots, width), SHORT_RUN
 
     def links(t: np.ndarray, key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         """Whole runs, sorted by t, key and (64-bit fingerprints) value."""
@@ -217,9 +226,9 @@ def _linked(bits: int, width: int, pivots: int, free: list[int] | None):
         length = np.diff(np.r_[start, n])
         run = np.cumsum(new) - 1
         stop = (start + length)[run]
-        brief = length[run] <= SHORT_RUN
+        brief = length[run] <= short
         forest, out = _Forest(n), []
-        longest = int(length[length <= SHORT_RUN].max(initial=0))
+        longest = int(length[length <= short].max(initial=0))
         for s in range(1, longest):
             a = np.flatnonzero(brief & (np.arange(n) + s < stop))
             if not len(a):
@@ -227,7 +236,7 @@ def _linked(bits: int, width: int, pivots: int, free: list[int] | None):
             a = a[_survivors(fp, coords, a, a + s, bits)]
             first = forest.join(a, a + s)
             out.append((a[first], a[first] + s))
-        for lo, many in zip(start[length > SHORT_RUN].tolist(), length[length > SHORT_RUN].tolist()):
+        for lo, many in zip(start[length > short].tolist(), length[length > short].tolist()):
             for a, b in _probe(fp, coords, lo, lo + many, free[int(t[lo])], bits) if free else _led(fp, lo, lo + many, bits):
                 first = forest.join(a, b)
                 out.append((a[first], b[first]))
@@ -298,52 +307,98 @@ def radius(similarity: float, width: int) -> int:
     return int(np.ceil(width * p + DEVIATIONS * (width * p * (1 - p)) ** 0.5))
 
 
-def _frequent(texts: DataFrame, words: int) -> np.ndarray:
-    """Shingles of many documents, ascending, by a sample of the texts."""
-    total = texts.count()
+def _sets(words: int):
+    """Of each text (row, doc_id, text): its shingle set with its size, and the set's digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t.as_py(), words) for t in b.column(0)]
-            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+            sets = [shingle_set(t.as_py(), words) for t in b.column(2)]
+            digest = np.array([np.frombuffer(xxhash.xxh3_128_digest(h.tobytes(), SEED), "<i8") for h in sets], np.int64).reshape(-1, 2)
+            columns = [pa.array(np.ascontiguousarray(d)) for d in digest.T]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns, pa.array([len(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["row", "doc_id", "d0", "d1", "n", "s"])
 
-    every = max(1, total // SAMPLE_DOCS)
-    some = texts.where(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).select("text").mapInArrow(run, "h long, n long")
-    least = max(8, int(FREQUENT * total / every))
-    top = some.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).collect()
-    return np.sort(np.array([r["h"] for r in top], np.int64).view(np.uint64))
+    return run
+
+
+def _set(s: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(s.as_buffer(), np.uint64)
+
+
+def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles, ascending, and their counts, from all sets (column s).
+
+    A task drops shingles that it has met once only, so that rare ones cost no shuffle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def counted() -> pa.RecordBatch:
+            h, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[c > 1].view(np.int64)), pa.array(c[c > 1].astype(np.int64))], ["h", "n"])
+
+        for b in batches:
+            for s in b.column(0):
+                held.append(_set(s))
+                n += len(held[-1])
+            if n >= COUNTED:
+                yield counted()
+                held, n = [], 0
+        yield counted()
 
+    top = sets.select("s").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_FREQUENT)
+    top = top.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).collect()
+    found = np.array([(r["h"], r["n"]) for r in top], np.int64).reshape(-1, 2)
+    h, n = found[:, 0].copy().view(np.uint64), found[:, 1]
+    order = np.argsort(h)
+    return h[order], n[order]
 
-def _sketches(words: int, similarity: float, width: int, frequent: np.ndarray):
-    """Of each text: its shingle set's digest and fingerprint, and the set's first shingles, frequent ones coming last.
+
+def _sketches(similarity: float, width: int, frequent: tuple[np.ndarray, np.ndarray]):
+    """Of each set (row, n, s): its fingerprint and its first shingles, the more frequent ones coming last.
 
     Sets of similarity s share at least s of either set, so that they share one of the first n - ceil(s n) + 1 of n
-    shingles in any order that is the same for all sets.
+    shingles in any order that is the same for all sets. Those among them that are hot come apart.
     """
-    names = ["row", "doc_id", "d0", "d1", *_columns(width), "first"]
+    names = ["node", "n", *_columns(width), "first", "hot"]
+    (known, counts), hottest = frequent, HOT_SHINGLE
+    levels = np.floor(np.log2(counts)).astype(np.int64) if len(counts) else counts
+
+    def lists(parts: list[np.ndarray]) -> pa.Array:
+        ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *(p.view(np.int64) for p in parts)])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, digests, firsts = [], [], []
-            for t in b.column(2):
-                h = shingle_set(t.as_py(), words)
+            fps, firsts, hots = [], [], []
+            for s in b.column(2):
+                h = _set(s)
                 fps.append(np.packbits(_ones(h, width) * 2 > len(h), bitorder="little").view("<u8"))
-                digests.append(np.frombuffer(xxhash.xxh3_128_digest(h.tobytes(), SEED), "<i8"))
-                if len(frequent):
-                    often = frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] == h
-                    h = np.concatenate([h[~often], h[often]])
-                firsts.append(h[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1].view(np.int64))
+                keep = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1
+                hot = np.zeros(0, np.uint64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    there = known[at] == h
+                    order = np.argsort(np.where(there, levels[at], 0), kind="stable")[:keep]
+                    heat = np.where(there, counts[at], 0)[order] >= hottest
+                    h, hot = h[order][~heat], h[order][heat]
+                firsts.append(h[:keep])
+                hots.append(hot)
             fp = np.array(fps, np.uint64).reshape(-1, width // 64)
-            digest = np.array(digests, np.int64).reshape(-1, 2)
-            ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
-            first = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])))
-            columns = [np.ascontiguousarray(c) for c in (*digest.T, *fp.T.view(np.int64))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, columns), first], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(c)) for c in fp.T.view(np.int64)), lists(firsts), lists(hots)], names)
 
     return run
 
 
+def _hot_links(prints: DataFrame) -> DataFrame:
+    """(a, b) that connect all texts with a hot shingle among their first ones: few shingles, each counted by partial sums."""
+    hot = prints.where(F.size("hot") > 0)
+    pairs = hot.select(F.col("hot")[0].alias("a"), F.explode("hot").alias("b")).distinct()
+    groups = components(pairs).select(F.col("node").alias("h"), F.col("component").alias("g")).union(pairs.where("a = b").select(F.col("a").alias("h"), F.col("a").alias("g"))).groupBy("h").agg(F.min("g").alias("g"))
+    named = hot.select("node", F.col("hot")[0].alias("h")).join(F.broadcast(groups), "h")  # at most MOST_FREQUENT shingles
+    return named.join(F.broadcast(named.groupBy("g").agg(F.min("node").alias("least"))), "g").select(F.col("least").alias("a"), F.col("node").alias("b"))
+
+
 def _alike(sets: list[np.ndarray], similarity: float, width: int) -> np.ndarray:
     """For each set the position of the first one that it reaches by links of exact Jaccard similarity or more.
 
@@ -375,8 +430,14 @@ def _alike(sets: list[np.ndarray], similarity: float, width: int) -> np.ndarray:
     return root
 
 
-def _verified(words: int, similarity: float, width: int):
-    """(node, root) from (component, node, text), met whole by component: root names what is linked by exact similarity."""
+def _both(x: np.ndarray, y: np.ndarray) -> int:
+    """The number of values that two ascending arrays share."""
+    x, y = (x, y) if len(x) < len(y) else (y, x)
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
+
+
+def _verified(similarity: float, width: int):
+    """(node, root) from (component, node, s), met whole by component: root names what is linked by exact similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, nodes, sets = None, [], []
@@ -386,19 +447,89 @@ def _verified(words: int, similarity: float, width: int):
             return pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[_alike(sets, similarity, width)])], ["node", "root"])
 
         for b in batches:
-            for component, node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            for component, node, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 if component != now and nodes:
                     yield settled()
                     nodes, sets = [], []
                 now = component
                 nodes.append(node)
-                sets.append(shingle_set(text.as_py(), words))
+                sets.append(_set(s))
         if nodes:
             yield settled()
 
     return run
 
 
+def _probe_links(similarity: float, width: int):
+    """(a, b): parts that an exact link connects, from (group, share, kind, node, part, s, f0, ...), in that order.
+
+    Of each group and share the probes (kind 0) come first and are held; the other texts pass by one by one. A text
+    gives one link at most for each part among the probes.
+    """
+    bits = radius(similarity, width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, sets, prints = None, [], [], []
+        for b in batches:
+            found = set()
+            fps = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[6:]], axis=1).view(np.uint64)
+            for i, (group, share, kind, part) in enumerate(zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 4)))):
+                if (group, share) != now:
+                    now, parts, sets, prints = (group, share), [], [], []
+                x = _set(b.column(5)[i])
+                if kind == 0:
+                    parts.append(part)
+                    sets.append(x)
+                    prints.append(fps[i].copy())
+                    continue
+                if isinstance(prints, list):
+                    prints, sizes, names = np.array(prints, np.uint64).reshape(-1, width // 64), np.array([len(y) for y in sets]), np.array(parts, np.int64)
+                fits = (np.minimum(sizes, len(x)) >= similarity * np.maximum(sizes, len(x)) - 1e-9) & (names != part)
+                linked = set()
+                for k in np.flatnonzero(fits & (distance(prints, fps[i]) <= bits)).tolist():
+                    if parts[k] in linked:
+                        continue
+                    both = _both(sets[k], x)
+                    if both >= similarity * (len(sets[k]) + len(x) - both) - 1e-9:
+                        linked.add(parts[k])
+                found |= {(p, part) for p in linked}
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _probed(held: DataFrame, similarity: float, width: int) -> DataFrame:
+    """(node, root) from (component, node, n, s, f0, ...) for groups of any size: what exact links connect, by rounds.
+
+    A round compares some texts of each group, the probes, with all others of it, which are dealt over many tasks, and
+    joins the parts that links connect. It ends when whatever isn't in a group's largest part has been a probe: any
+    link that is left then lies within that part. Copies of one text thus take a few probes, whatever their number.
+    """
+    spark, cols = held.sparkSession, _columns(width)
+    sizes = held.groupBy("component").agg(F.ceil(F.count("*") / F.lit(PROBED_TEXTS)).cast("int").alias("shares"))
+    base = staged(held.join(sizes, "component").withColumn("share", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int")), "similar-large")
+    state = staged(base.select("component", "node", "n", F.col("node").alias("part"), F.lit(False).alias("probed")), "similar-parts")
+    probes = FIRST_PROBES
+    for turn in itertools.count():
+        parts = state.groupBy("component", "part").agg(F.count("*").alias("c"))
+        largest = parts.groupBy("component").agg(F.max(F.struct("c", "part"))["part"].alias("largest"))
+        todo = state.join(largest, "component").where("NOT probed AND part <> largest")
+        each = todo.groupBy("component").agg(F.count("*").alias("u"), F.avg("n").alias("mean"))
+        each = each.select("component", F.ceil(F.col("u") / F.greatest(F.lit(1), F.least(F.lit(probes), F.floor(TOGETHER_SHINGLES / F.greatest(F.col("mean"), F.lit(1)))))).alias("every"))
+        chosen = staged(todo.join(each, "component").where(F.pmod(F.xxhash64("node", F.lit(turn)), F.col("every")) == 0).select("node", F.col("part").alias("p")), "similar-probes")
+        if not todo.limit(1).count():
+            return state.select("node", F.col("part").alias("root"))
+        ahead = base.join(chosen, "node").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+        ahead = ahead.select("component", "share", F.lit(0).alias("kind"), "node", F.col("p").alias("part"), "s", *cols)
+        every = base.join(state.select("node", "part"), "node").select("component", "share", F.lit(1).alias("kind"), "node", "part", "s", *cols)
+        dealt = ahead.union(every).repartition(shuffle_partitions(spark), "component", "share").sortWithinPartitions("component", "share", "kind")
+        links = staged(dealt.mapInArrow(_probe_links(similarity, width), "a long, b long").distinct(), "similar-links")
+        joined = components(links).select(F.col("node").alias("part"), F.col("component").alias("joined"))
+        new = state.join(joined, "part", "left").join(chosen.select("node", F.lit(True).alias("now")), "node", "left")
+        state = staged(new.select("component", "node", "n", F.coalesce("joined", "part").alias("part"), (F.col("probed") | F.coalesce("now", F.lit(False))).alias("probed")), "similar-parts")
+        probes = PROBES
+
+
 def _grouped(prints: DataFrame, links) -> DataFrame:
     """prints with component_id: the smallest doc_id reachable. links: from distinct (node, f0) to pairs of nodes."""
     cols = _columns(64)
@@ -428,24 +559,38 @@ def similar_rows(texts: DataFrame, words: int = 5, similarity: float = 0.8, widt
     """row, doc_id, group, component_id from (row, doc_id, text), row unique and not null: texts grouped by links of Jaccard similarity or more between their sets of word shingles.
 
     Candidates share one of their first shingles (which sets so similar always do) and have fingerprints of `width` bits
-    within radius(similarity, width). What candidates connect is brought together, and only links that the sets
-    themselves confirm count. Equal sets are one node; texts without words are alike. A group is named by its smallest
-    row of a node, and component_id as in simhash_dedup.
+    within radius(similarity, width); only links that the sets themselves confirm count. Equal sets are one node; texts
+    without words are alike. A group is named by its smallest row of a node, and component_id as in simhash_dedup.
+    What candidates connect is compared in one task up to TOGETHER texts, by rounds of probes over many tasks beyond.
     """
     cols = _columns(width)
     texts = only(texts, "row", "doc_id", "text")
-    schema = "row long, doc_id long, d0 long, d1 long, " + ", ".join(f"{c} long" for c in cols) + ", first array<long>"
-    prints = staged(texts.mapInArrow(_sketches(words, similarity, width, _frequent(texts, words)), schema), "similar")
-    nodes = staged(prints.groupBy("d0", "d1").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "similar-nodes")
-    met = prints.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.lit(0).alias("t"), F.explode("first").alias("key"), F.col("row").alias("node"), *cols)
-    near = components(_met(met, _linked(radius(similarity, width), width, pivots, None)).distinct())
-    held = texts.join(near.withColumnRenamed("node", "row"), "row").select("component", F.col("row").alias("node"), "text")
-    dealt = held.repartition(shuffle_partitions(texts.sparkSession), "component").sortWithinPartitions("component", "node")
-    roots = staged(dealt.mapInArrow(_verified(words, similarity, width), "node long, root long"), "similar-roots")
+    sets = staged(texts.mapInArrow(_sets(words), "row long, doc_id long, d0 long, d1 long, n long, s binary"), "similar-sets")
+    nodes = staged(sets.groupBy("d0", "d1").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "similar-nodes")
+    own = sets.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select("row", "n", "s")
+    frequent = _frequent(own)
+    schema = "node long, n long, " + ", ".join(f"{c} long" for c in cols) + ", first array<long>, hot array<long>"
+    prints = staged(own.mapInArrow(_sketches(similarity, width, frequent), schema), "similar")
+    met = prints.select(F.lit(0).alias("t"), F.explode("first").alias("key"), "node", *cols)
+    links = _met(met, _linked(radius(similarity, width), width, pivots, None))
+    if (frequent[1] >= HOT_SHINGLE).any():
+        links = links.union(_hot_links(prints))
+    near = staged(components(links.distinct()), "similar-near")
+    sizes = near.join(prints.select("node", "n"), "node").groupBy("component").agg(F.count("*").alias("c"), F.sum("n").alias("m"))
+    large = staged(sizes.where((F.col("c") > TOGETHER) | (F.col("m") > TOGETHER_SHINGLES)).select("component"), "similar-sizes")
+    held = near.join(own.withColumnRenamed("row", "node"), "node")
+    some = bool(large.limit(1).count())
+    few = (held.join(large, "component", "left_anti") if some else held).select("component", "node", "s")
+    dealt = few.repartition(shuffle_partitions(texts.sparkSession), "component").sortWithinPartitions("component", "node")
+    roots = dealt.mapInArrow(_verified(similarity, width), "node long, root long")
+    if some:
+        many = held.join(large, "component", "left_semi").join(prints.select("node", *cols), "node")
+        roots = roots.union(_probed(many, similarity, width))
+    roots = staged(roots, "similar-roots")
     named = nodes.join(roots, "node").groupBy("root").agg(F.min("least").alias("component_id"))
     linked = roots.join(named, "root").select("node", "root", "component_id", F.lit(True).alias("linked"))
     whole = nodes.join(linked, "node", "left").select("d0", "d1", F.coalesce("root", "node").alias("group"), F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
-    return prints.join(whole, ["d0", "d1"]).select("row", "doc_id", "group", "component_id")
+    return sets.select("row", "doc_id", "d0", "d1").join(whole, ["d0", "d1"]).select("row", "doc_id", "group", "component_id")
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = WIDTH, pivots: int = PIVOTS) -> DataFrame:

@@ -131,7 +131,11 @@ def test_wide_fingerprints_group_near_copies(spark, monkeypatch, short):
     assert all(got[i] == i - i % 2 for i in range(40))
 
 
-def test_similar_documents_are_what_brute_force_links(spark):
+@pytest.mark.parametrize("together,hot,short", [(4096, 20_000, 128), (4, 20_000, 2), (4, 9, 128)])
+def test_similar_documents_are_what_brute_force_links(spark, monkeypatch, together, hot, short):
+    """Within one task; by probes over several tasks; and with shingles so frequent that they aren't paired."""
+    for name, value in (("TOGETHER", together), ("HOT_SHINGLE", hot), ("SHORT_RUN", short), *([("PROBED_TEXTS", 10), ("FIRST_PROBES", 2), ("PROBES", 4)] if together < 10 else [])):
+        monkeypatch.setattr(simhash, name, value)
     rng = np.random.default_rng(4)
     words = [f"t{i}" for i in range(5000)]
     line = " ".join(words[:12])
@@ -144,6 +148,12 @@ def test_similar_documents_are_what_brute_force_links(spark):
             at = int(rng.integers(0, 90))
             near[at : at + int(rng.integers(1, 25))] = ["changed"]
             texts.append(" ".join(near) + (" " + line if k % 2 else ""))
+    for stray in range(40):  # a family around its first text, most of whose members aren't so similar to each other, and a chain
+        near = list(t)
+        at = int(rng.integers(0, 100)) if stray < 25 else 3 * (stray - 25)
+        near[at : at + 8] = [f"x{stray // 25}"]
+        t = near if stray >= 25 else t
+        texts.append(" ".join(near))
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for t in texts)]
     forest, near_misses, links = simhash._Forest(len(texts)), 0, 0
     for i in range(len(texts)):
