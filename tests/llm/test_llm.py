@@ -427,7 +427,7 @@ def test_urls(spark):
         host, path, rule, verdict = slow_rule(u)
         assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule)
         assert got[i]["verdict"] == (verdict or "allow")
-    assert got[12]["template"] == "/a/*/x/y/**"
+    assert got[12]["template"] == "/a/*/x/y/z/w"
 
 
 def test_bad_templates_are_rejected(spark):
@@ -437,6 +437,23 @@ def test_bad_templates_are_rejected(spark):
     assert got[3]["rule"] is None and got[3]["verdict"] == "block" and got[6]["rule"] is None and got[6]["verdict"] == "allow"
 
 
+def test_unlabelled_branches_take_the_labels_of_branches_built_alike(spark):
+    urls = [f"http://h.org/{lang}/{i}" for lang in ("en", "de", "fr") for i in range(40)] + [f"http://h.org/about/team/{n}" for n in ("ann", "bob", "cid")] * 20
+    urls += [f"http://k.org/{lang}/{i}" for lang in ("en", "de", "fr") for i in range(40)]  # en is bad and de is good: fr stays with neither
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = (("block", "h.org/en/"), ("block", "k.org/en/"), ("allow", "k.org/de/"))
+    got = {urls[r["page_id"]]: r for r in collect(url_templates.judge_urls(pages, rules))}
+    assert got["http://h.org/de/3"]["verdict"] == got["http://h.org/fr/7"]["verdict"] == "block" and got["http://h.org/de/3"]["bad_share"] == 41 / 42
+    assert got["http://h.org/about/team/ann"]["verdict"] == "allow" and got["http://h.org/about/team/ann"]["bad_share"] == 0.5
+    assert got["http://k.org/fr/3"]["verdict"] == "allow" and got["http://k.org/fr/3"]["bad_share"] == 0.5
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_templates_met_by_broadcast_or_by_salt(spark, monkeypatch, limit):
+    monkeypatch.setattr(url_templates, "BROADCAST_TEMPLATES", limit)
+    test_bad_templates_are_rejected(spark)
+
+
 def test_search(spark):
     rng = np.random.default_rng(10)
     x = rng.normal(size=(900, 8)) + rng.integers(0, 6, 900)[:, None]
