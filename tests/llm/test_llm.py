@@ -396,8 +396,51 @@ def test_disclosing_terms_and_redaction(spark):
     assert got[0]["spans"] == "email:19:29"  # quaxley also occurs without the address: 4 of 5 documents
     strict = {r["doc_id"]: r for r in collect(sanitise.find_pii(docs, disclosure=0.85))}
     assert strict[0]["spans"] == "email:19:29,term:8:15" and strict[44]["spans"] == "term:0:7" and strict[5]["spans"] == ""
-    clean = {r["doc_id"]: r["text"] for r in collect(sanitise.redact(docs, sanitise.find_pii(docs, disclosure=0.85)))}
-    assert clean[0] == "contact [TERM] at [EMAIL] about item 0" and clean[5] == texts[5]
+    clean = {r["doc_id"]: r["text"] for r in collect(sanitise.sanitised(docs, disclosure=0.85))}
+    assert clean[0] == "contact about at [EMAIL] about item 0" and clean[5] == texts[5]  # about: in 4 of the term's 5 documents
+    gone = {r["doc_id"]: r["text"] for r in collect(sanitise.sanitised(docs, disclosure=0.85, remove=0.85))}
+    assert gone[0] == "contact  at [EMAIL] about item 0" and gone[44] == " wrote this"
+
+
+def slow_terms(texts, least, disclosure):
+    """Term spans of each text by counting every pair of entity and word."""
+    words = [set(re.findall(r"[^\W_]+", t.lower())) for t in texts]
+    base = [slow_base(t) for t in texts]
+    held = {}
+    for i, spans in enumerate(base):
+        for k, a, b in spans:
+            m = texts[i][a:b]
+            held.setdefault((k, m.lower() if k == "email" else re.sub("[^0-9.]", "", m)), set()).add(i)
+    terms = set()
+    for e, docs in held.items():
+        if len(docs) < least or 2 * len(docs) > len(texts):
+            continue
+        for t in {w for i in docs for w in words[i] if len(w) >= 3}:
+            with_t = {i for i, w in enumerate(words) if t in w}
+            both = len(docs & with_t)
+            if both >= least and 1 + np.log(both / len(with_t)) / np.log(len(texts) / len(docs)) >= disclosure:
+                terms.add(t)
+    return [[("term", m.start(), m.end()) for m in re.finditer(r"[^\W_]+", t) if m[0].lower() in terms and not any(m.start() < b and a < m.end() for _, a, b in spans)] for t, spans in zip(texts, base)]
+
+
+@pytest.mark.parametrize("least,disclosure", [(2, 0.9), (3, 0.6)])
+def test_term_spans_are_what_brute_force_finds(spark, least, disclosure):
+    rng = np.random.default_rng(12)
+    common, rare = [f"word{c}" for c in "abcdefghij"], [f"Rare{c}{d}" for c in "abcdef" for d in "abcde"]
+    people = [("q@corp.org", "quaxley"), ("+1 (555) 123-4567", "Brixton"), ("10.0.0.1", "gateway"), ("4111 1111 1111 1111", "Élodie")]
+    texts = []
+    for i in range(160):
+        t = list(rng.choice(common, 8)) + list(rng.choice(rare, 2))
+        if i % 8 == 0:
+            t += list(people[int(rng.integers(4))])
+        elif i % 31 == 0:
+            t.append("Quaxley")
+        texts.append(" ".join(rng.permutation(t)))
+    texts += [texts[0], texts[8], ""]
+    got = {r["doc_id"]: r["spans"] for r in collect(sanitise.find_pii(table(spark, texts), least, disclosure))}
+    want = [sorted(b, key=lambda s: (sanitise.KINDS.index(s[0]), s[1])) + t for b, t in zip(map(slow_base, texts), slow_terms(texts, least, disclosure))]
+    assert any(x[0] == "term" for w in want for x in w)
+    assert got == {i: ",".join(f"{k}:{a}:{b}" for k, a, b in w) for i, w in enumerate(want)}
 
 
 def test_terms_disclose_from_anywhere_in_the_text(spark):
