@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"\x20\x09-\x0D"
 
 _local_dir: list[str] = []
+#: For each settled() under way: the folders written since.
+_scopes: list[list[str]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -34,11 +38,50 @@ def staged(df: DataFrame, label: str, partition_by: str | None = None) -> DataFr
     """Writes df as a Parquet table in the shared folder and reads it back: this cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(label: str, spark: SparkSession, compute: Callable[[], DataFrame]) -> DataFrame:
+    """compute()'s rows as a staged table. Whatever compute staged on its way is deleted once they are written."""
+    _scopes.append([])
+    try:
+        rows = compute()
+        made = _scopes.pop()
+        try:
+            return staged(rows, label)
+        finally:
+            _scopes.append(made)
+    finally:
+        for path in _scopes.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def numbered(df: DataFrame, *columns: str) -> DataFrame:
+    """The columns with `row` before them: a long, unique and not null, which is the same each time the rows are read.
+
+    Rows of files are named by a hash of their file and their position in it, without a copy; other rows are staged.
+    """
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.child()
+    if node.nodeName().startswith(("Relation", "LogicalRelation")):
+        try:
+            meta = df.metadataColumn("_metadata")
+            for seed in range(8):
+                file = F.pmod(F.xxhash64(meta["file_path"], F.lit(seed)), F.lit(1 << 33))
+                files = df.select(meta["file_path"].alias("p"), file.alias("f"), meta["row_index"].alias("i")).agg(F.count_distinct("p") == F.count_distinct("f"), F.max("i")).first()
+                if files[0] and (files[1] or 0) < 1 << 30:
+                    return df.select((F.shiftleft(file, 30) + meta["row_index"]).alias("row"), *[F.col(f"`{c}`") for c in columns])
+        except AnalysisException:  # not files that tell where a row lies
+            pass
+    return staged(df.select(F.monotonically_increasing_id().alias("row"), *[F.col(f"`{c}`") for c in columns]), "rows")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -58,6 +101,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     component is the smallest node of its component. Alternating large-star and small-star rounds, each staged, until
     the edge set no longer changes; a hub's edges are split by adaptive skew joins, never gathered in one task.
     """
+    return settled("components", edges.sparkSession, lambda: _components(edges, max_rounds))
+
+
+def _components(edges: DataFrame, max_rounds: int) -> DataFrame:
     def summary(e: DataFrame):
         return e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
 

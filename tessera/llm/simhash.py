@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import components, only, shuffle_partitions, staged, table
+from .shared import components, numbered, only, settled, shuffle_partitions, staged, table
 
 SEED = 42
 #: Shingles whose bits are counted at once.
@@ -550,8 +550,11 @@ def simhash_dedup(docs: DataFrame, words: int = 3, bits: int = 2, blocks: int =
     words than a shingle is one shingle; one without words, empty or null has fingerprint zero and links like any other.
     Null doc_ids don't name a component unless it has no other. Equal fingerprints are one node, so copies cost nothing.
     """
-    prints = staged(only(docs, "doc_id", "text").mapInArrow(_fingerprints(words, 64), "doc_id long, f0 long"), "simhash")
-    out = _grouped(prints, lambda nodes: near_links(nodes, bits, blocks, pivots))
+    def grouped() -> DataFrame:
+        prints = staged(only(docs, "doc_id", "text").mapInArrow(_fingerprints(words, 64), "doc_id long, f0 long"), "simhash")
+        return _grouped(prints, lambda nodes: near_links(nodes, bits, blocks, pivots))
+
+    out = settled("simhash-groups", docs.sparkSession, grouped)
     return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -563,8 +566,12 @@ def similar_rows(texts: DataFrame, words: int = 5, similarity: float = 0.8, widt
     without words are alike. A group is named by its smallest row of a node, and component_id as in simhash_dedup.
     What candidates connect is compared in one task up to TOGETHER texts, by rounds of probes over many tasks beyond.
     """
-    cols = _columns(width)
     texts = only(texts, "row", "doc_id", "text")
+    return settled("similar-groups", texts.sparkSession, lambda: _similar_rows(texts, words, similarity, width, pivots))
+
+
+def _similar_rows(texts: DataFrame, words: int, similarity: float, width: int, pivots: int) -> DataFrame:
+    cols = _columns(width)
     sets = staged(texts.mapInArrow(_sets(words), "row long, doc_id long, d0 long, d1 long, n long, s binary"), "similar-sets")
     nodes = staged(sets.groupBy("d0", "d1").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "similar-nodes")
     own = sets.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select("row", "n", "s")
@@ -595,8 +602,7 @@ def similar_rows(texts: DataFrame, words: int = 5, similarity: float = 0.8, widt
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = WIDTH, pivots: int = PIVOTS) -> DataFrame:
     """doc_id, component_id of each row, as similar_rows groups them."""
-    texts = staged(only(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "similar-texts")
-    return similar_rows(texts, words, similarity, width, pivots).select("doc_id", "component_id")
+    return similar_rows(numbered(docs, "doc_id", "text"), words, similarity, width, pivots).select("doc_id", "component_id")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
