@@ -14,7 +14,7 @@ WORDS, SIMILARITY = 5, 0.8
 
 def _numbered(docs: DataFrame) -> DataFrame:
     """The documents with a row id of their own, unique and not null, whatever their doc_id."""
-    return shared.staged(docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS), "pipeline-rows")
+    return shared.numbered(docs, *COLUMNS)
 
 
 def _keep(rows: DataFrame, kept: DataFrame) -> DataFrame:
