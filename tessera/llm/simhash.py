@@ -29,6 +29,8 @@ WIDTH, DEVIATIONS = 256, 6.0
 #: Shingles counted at once by a task, the count over all texts from which a shingle can be known as frequent, and how many
 #: such are kept. They only order shingles: results are the same whatever is found.
 COUNTED, LEAST_FREQUENT, MOST_FREQUENT = 4_000_000, 8, 200_000
+#: Rows of one or two longs that are broadcast at most.
+BROADCAST_ROWS = 500_000
 #: From this count on, texts with a shingle aren't paired by it in one task but are candidates of each other as a whole.
 HOT_SHINGLE = 20_000
 #: Texts, and shingles in them, that are compared within one task. Larger groups of candidates are probed by rounds.
@@ -307,46 +309,42 @@ def radius(similarity: float, width: int) -> int:
     return int(np.ceil(width * p + DEVIATIONS * (width * p * (1 - p)) ** 0.5))
 
 
-def _sets(words: int):
-    """Of each text (row, doc_id, text): its shingle set with its size, and the set's digest."""
+def _digests(words: int):
+    """Of each text (row, doc_id, text): its shingle set's digest and size; and (h, c): shingles met in c texts of a task.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t.as_py(), words) for t in b.column(2)]
-            digest = np.array([np.frombuffer(xxhash.xxh3_128_digest(h.tobytes(), SEED), "<i8") for h in sets], np.int64).reshape(-1, 2)
-            columns = [pa.array(np.ascontiguousarray(d)) for d in digest.T]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns, pa.array([len(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["row", "doc_id", "d0", "d1", "n", "s"])
-
-    return run
-
-
-def _set(s: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(s.as_buffer(), np.uint64)
-
-
-def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles, ascending, and their counts, from all sets (column s).
-
-    A task drops shingles that it has met once only, so that rare ones cost no shuffle.
+    A task drops shingles that it has met once only, so that rare ones cost nothing.
     """
+    names = ["row", "doc_id", "d0", "d1", "n", "h", "c"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def counted() -> pa.RecordBatch:
             h, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h[c > 1].view(np.int64)), pa.array(c[c > 1].astype(np.int64))], ["h", "n"])
+            h, c = h[c > 1], c[c > 1]
+            return pa.RecordBatch.from_arrays([*[pa.nulls(len(h), pa.int64())] * 5, pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names)
 
         for b in batches:
-            for s in b.column(0):
-                held.append(_set(s))
-                n += len(held[-1])
-            if n >= COUNTED:
-                yield counted()
-                held, n = [], 0
+            digests, sizes = [], []
+            for t in b.column(2):
+                h = shingle_set(t.as_py(), words)
+                digests.append(np.frombuffer(xxhash.xxh3_128_digest(h.tobytes(), SEED), "<i8"))
+                sizes.append(len(h))
+                held.append(h)
+                n += len(h)
+                if n >= COUNTED:
+                    yield counted()
+                    held, n = [], 0
+            digest = np.array(digests, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(d)) for d in digest.T), pa.array(sizes, pa.int64()), *[pa.nulls(len(sizes), pa.int64())] * 2], names)
         yield counted()
 
-    top = sets.select("s").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_FREQUENT)
+    return run
+
+
+def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles, ascending, and their counts, from (h, c) of all tasks."""
+    top = counts.groupBy("h").agg(F.sum("c").alias("n")).where(F.col("n") >= LEAST_FREQUENT)
     top = top.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).collect()
     found = np.array([(r["h"], r["n"]) for r in top], np.int64).reshape(-1, 2)
     h, n = found[:, 0].copy().view(np.uint64), found[:, 1]
@@ -354,8 +352,8 @@ def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
-def _sketches(similarity: float, width: int, frequent: tuple[np.ndarray, np.ndarray]):
-    """Of each set (row, n, s): its fingerprint and its first shingles, the more frequent ones coming last.
+def _sketches(words: int, similarity: float, width: int, frequent: tuple[np.ndarray, np.ndarray]):
+    """Of each text (row, text): its shingle set's size, fingerprint and its first shingles, the more frequent ones coming last.
 
     Sets of similarity s share at least s of either set, so that they share one of the first n - ceil(s n) + 1 of n
     shingles in any order that is the same for all sets. Those among them that are hot come apart.
@@ -370,9 +368,10 @@ def _sketches(similarity: float, width: int, frequent: tuple[np.ndarray, np.ndar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, firsts, hots = [], [], []
-            for s in b.column(2):
-                h = _set(s)
+            fps, firsts, hots, sizes = [], [], [], []
+            for t in b.column(1):
+                h = shingle_set(t.as_py(), words)
+                sizes.append(len(h))
                 fps.append(np.packbits(_ones(h, width) * 2 > len(h), bitorder="little").view("<u8"))
                 keep = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1
                 hot = np.zeros(0, np.uint64)
@@ -385,7 +384,7 @@ def _sketches(similarity: float, width: int, frequent: tuple[np.ndarray, np.ndar
                 firsts.append(h[:keep])
                 hots.append(hot)
             fp = np.array(fps, np.uint64).reshape(-1, width // 64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(c)) for c in fp.T.view(np.int64)), lists(firsts), lists(hots)], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in fp.T.view(np.int64)), lists(firsts), lists(hots)], names)
 
     return run
 
@@ -436,8 +435,8 @@ def _both(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
 
 
-def _verified(similarity: float, width: int):
-    """(node, root) from (component, node, s), met whole by component: root names what is linked by exact similarity."""
+def _verified(words: int, similarity: float, width: int):
+    """(node, root) from (component, node, text), met whole by component: root names what is linked by exact similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, nodes, sets = None, [], []
@@ -447,21 +446,21 @@ def _verified(similarity: float, width: int):
             return pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[_alike(sets, similarity, width)])], ["node", "root"])
 
         for b in batches:
-            for component, node, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            for component, node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 if component != now and nodes:
                     yield settled()
                     nodes, sets = [], []
                 now = component
                 nodes.append(node)
-                sets.append(_set(s))
+                sets.append(shingle_set(text.as_py(), words))
         if nodes:
             yield settled()
 
     return run
 
 
-def _probe_links(similarity: float, width: int):
-    """(a, b): parts that an exact link connects, from (group, share, kind, node, part, s, f0, ...), in that order.
+def _probe_links(words: int, similarity: float, width: int):
+    """(a, b): parts that an exact link connects, from (group, share, kind, node, part, text, f0, ...), in that order.
 
     Of each group and share the probes (kind 0) come first and are held; the other texts pass by one by one. A text
     gives one link at most for each part among the probes.
@@ -476,7 +475,7 @@ def _probe_links(similarity: float, width: int):
             for i, (group, share, kind, part) in enumerate(zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 4)))):
                 if (group, share) != now:
                     now, parts, sets, prints = (group, share), [], [], []
-                x = _set(b.column(5)[i])
+                x = shingle_set(b.column(5)[i].as_py(), words)
                 if kind == 0:
                     parts.append(part)
                     sets.append(x)
@@ -498,8 +497,8 @@ def _probe_links(similarity: float, width: int):
     return run
 
 
-def _probed(held: DataFrame, similarity: float, width: int) -> DataFrame:
-    """(node, root) from (component, node, n, s, f0, ...) for groups of any size: what exact links connect, by rounds.
+def _probed(held: DataFrame, words: int, similarity: float, width: int) -> DataFrame:
+    """(node, root) from (component, node, n, text, f0, ...) for groups of any size: what exact links connect, by rounds.
 
     A round compares some texts of each group, the probes, with all others of it, which are dealt over many tasks, and
     joins the parts that links connect. It ends when whatever isn't in a group's largest part has been a probe: any
@@ -520,16 +519,21 @@ def _probed(held: DataFrame, similarity: float, width: int) -> DataFrame:
         if not todo.limit(1).count():
             return state.select("node", F.col("part").alias("root"))
         ahead = base.join(chosen, "node").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-        ahead = ahead.select("component", "share", F.lit(0).alias("kind"), "node", F.col("p").alias("part"), "s", *cols)
-        every = base.join(state.select("node", "part"), "node").select("component", "share", F.lit(1).alias("kind"), "node", "part", "s", *cols)
+        ahead = ahead.select("component", "share", F.lit(0).alias("kind"), "node", F.col("p").alias("part"), "text", *cols)
+        every = base.join(state.select("node", "part"), "node").select("component", "share", F.lit(1).alias("kind"), "node", "part", "text", *cols)
         dealt = ahead.union(every).repartition(shuffle_partitions(spark), "component", "share").sortWithinPartitions("component", "share", "kind")
-        links = staged(dealt.mapInArrow(_probe_links(similarity, width), "a long, b long").distinct(), "similar-links")
+        links = staged(dealt.mapInArrow(_probe_links(words, similarity, width), "a long, b long").distinct(), "similar-links")
         joined = components(links).select(F.col("node").alias("part"), F.col("component").alias("joined"))
         new = state.join(joined, "part", "left").join(chosen.select("node", F.lit(True).alias("now")), "node", "left")
         state = staged(new.select("component", "node", "n", F.coalesce("joined", "part").alias("part"), (F.col("probed") | F.coalesce("now", F.lit(False))).alias("probed")), "similar-parts")
         probes = PROBES
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """rows of a few longs, to be broadcast if they are BROADCAST_ROWS at most."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def _grouped(prints: DataFrame, links) -> DataFrame:
     """prints with component_id: the smallest doc_id reachable. links: from distinct (node, f0) to pairs of nodes."""
     cols = _columns(64)
@@ -572,12 +576,14 @@ def similar_rows(texts: DataFrame, words: int = 5, similarity: float = 0.8, widt
 
 def _similar_rows(texts: DataFrame, words: int, similarity: float, width: int, pivots: int) -> DataFrame:
     cols = _columns(width)
-    sets = staged(texts.mapInArrow(_sets(words), "row long, doc_id long, d0 long, d1 long, n long, s binary"), "similar-sets")
+    made = staged(texts.mapInArrow(_digests(words), "row long, doc_id long, d0 long, d1 long, n long, h long, c long"), "similar-sets")
+    sets = made.where("row IS NOT NULL").select("row", "doc_id", "d0", "d1")
     nodes = staged(sets.groupBy("d0", "d1").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "similar-nodes")
-    own = sets.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select("row", "n", "s")
-    frequent = _frequent(own)
+    frequent = _frequent(made.where("h IS NOT NULL"))
     schema = "node long, n long, " + ", ".join(f"{c} long" for c in cols) + ", first array<long>, hot array<long>"
-    prints = staged(own.mapInArrow(_sketches(similarity, width, frequent), schema), "similar")
+    # Texts with equal sets are one node; which rows those are is broadcast up to a count, and joined by a shuffle beyond.
+    every = texts.select("row", "text").mapInArrow(_sketches(words, similarity, width, frequent), schema)
+    prints = staged(every.join(_small(nodes.select("node")), "node", "left_semi"), "similar")
     met = prints.select(F.lit(0).alias("t"), F.explode("first").alias("key"), "node", *cols)
     links = _met(met, _linked(radius(similarity, width), width, pivots, None))
     if (frequent[1] >= HOT_SHINGLE).any():
@@ -585,19 +591,19 @@ def _similar_rows(texts: DataFrame, words: int, similarity: float, width: int, p
     near = staged(components(links.distinct()), "similar-near")
     sizes = near.join(prints.select("node", "n"), "node").groupBy("component").agg(F.count("*").alias("c"), F.sum("n").alias("m"))
     large = staged(sizes.where((F.col("c") > TOGETHER) | (F.col("m") > TOGETHER_SHINGLES)).select("component"), "similar-sizes")
-    held = near.join(own.withColumnRenamed("row", "node"), "node")
+    held = texts.select(F.col("row").alias("node"), "text").join(_small(near), "node")
     some = bool(large.limit(1).count())
-    few = (held.join(large, "component", "left_anti") if some else held).select("component", "node", "s")
+    few = (held.join(_small(large), "component", "left_anti") if some else held).select("component", "node", "text")
     dealt = few.repartition(shuffle_partitions(texts.sparkSession), "component").sortWithinPartitions("component", "node")
-    roots = dealt.mapInArrow(_verified(similarity, width), "node long, root long")
+    roots = dealt.mapInArrow(_verified(words, similarity, width), "node long, root long")
     if some:
-        many = held.join(large, "component", "left_semi").join(prints.select("node", *cols), "node")
-        roots = roots.union(_probed(many, similarity, width))
+        many = held.join(_small(large), "component", "left_semi").join(prints.select("node", "n", *cols), "node")
+        roots = roots.union(_probed(many, words, similarity, width))
     roots = staged(roots, "similar-roots")
     named = nodes.join(roots, "node").groupBy("root").agg(F.min("least").alias("component_id"))
     linked = roots.join(named, "root").select("node", "root", "component_id", F.lit(True).alias("linked"))
     whole = nodes.join(linked, "node", "left").select("d0", "d1", F.coalesce("root", "node").alias("group"), F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
-    return sets.select("row", "doc_id", "d0", "d1").join(whole, ["d0", "d1"]).select("row", "doc_id", "group", "component_id")
+    return sets.join(whole, ["d0", "d1"]).select("row", "doc_id", "group", "component_id")
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = WIDTH, pivots: int = PIVOTS) -> DataFrame:
