@@ -11,6 +11,7 @@ from .federation import Federation
 from .reasoning import TBox
 from .sources.files import csv_source, jdbc_source, json_source
 from .sources.r2rml import R2rml
+from .sources.remote import BATCH, SparqlSource
 from .sources.table import from_context
 from .sources.triples import parquet_store, rdf_file, read_text
 
@@ -34,6 +35,7 @@ LOADERS = {
     "csv": lambda s, e, b, n: [csv_source(s, _paths(e, b)[0], _context(s, e, b), n, e.get("separator"), turtle_cells=e.get("turtle-cells", False), links=e.get("links"))],
     "json": lambda s, e, b, n: [json_source(s, _paths(e, b)[0], _context(s, e, b), n, e.get("lines", True), e.get("links"))],
     "jdbc": lambda s, e, b, n: [jdbc_source(s, e["jdbc"], e["table"], _context(s, e, b), n, e.get("links"))],
+    "sparql": lambda s, e, b, n: [SparqlSource(s, next(e[k] for k in FILE_KEYS if k in e), n, e.get("describe", "ask"), e.get("bind", True), e.get("batch", BATCH))],
     "r2rml": lambda s, e, b, n: R2rml(s, read_text(s, _paths(e, b)[0]), s.table, e.get("base", "http://example.org/base/"), e.get("strict", True)).sources(),
 }
 

@@ -96,7 +96,8 @@ class Federation(Source):
     def star(self, wanted: list[Wanted], needed: set[str]) -> Relation:
         compiler = Compiler(self.spark, self.sources, None, self.dedup)
         compiler.needed = needed | {w.s.name for w in wanted if isinstance(w.s, Var)}
-        return compiler.star(wanted)
+        found = compiler.star(wanted)
+        return found if isinstance(found, Relation) else found(Relation(self.spark.range(1).select(), {}))
 
 
 class _Guarded(Source):
@@ -104,10 +105,27 @@ class _Guarded(Source):
 
     def __init__(self, inner: Source):
         self.inner, self.name, self.prefixes = inner, inner.name, inner.prefixes
-        self.equivalent_to, self.required = inner.equivalent_to, inner.required
+        self.equivalent_to, self.required, self.binds, self.groups = inner.equivalent_to, inner.required, inner.binds, inner.groups
 
     def may_match(self, w: Wanted) -> bool:
-        return self.inner.may_match(w)
+        try:
+            return self.inner.may_match(w)
+        except Exception as e:  # noqa: BLE001 - asked for by on_source_error="empty"
+            print(f"source {self.name} failed: {e}")
+            return False
+
+    def index(self) -> None:
+        if hasattr(self.inner, "index"):
+            self.inner.index()
+
+    def bound_star(self, wanted: list[Wanted], left: Relation, compiler) -> Relation:
+        from .sources.table import nothing
+
+        try:
+            return self.inner.bound_star(wanted, left, compiler)
+        except Exception as e:  # noqa: BLE001 - as above
+            print(f"source {self.name} failed: {e}")
+            return R.join(left, nothing(SparkSession.active(), wanted))
 
     def star(self, wanted: list[Wanted], needed: set[str]) -> Relation:
         from .sources.table import nothing

@@ -115,6 +115,17 @@ def term_of(t) -> Column:
     return F.struct(F.lit(kind).alias("k"), F.lit(lex).alias("lex"), F.lit(t.dt if kind == "L" else None).cast("string").alias("dt"), F.lit(t.lang if kind == "L" else None).cast("string").alias("lang"))
 
 
+def term_key(t: Column) -> Column:
+    """A TERM struct as one text, equal for equal terms; term_of_key is its inverse."""
+    return F.concat_ws("\x1f", t["k"], F.coalesce(t["dt"], F.lit("")), F.coalesce(t["lang"], F.lit("")), t["lex"])
+
+
+def term_of_key(c: Column) -> Column:
+    part = F.split(c, "\x1f", 4)
+    none = lambda x: F.nullif(x, F.lit(""))
+    return F.struct(part[0].alias("k"), part[3].alias("lex"), none(part[1]).alias("dt"), none(part[2]).alias("lang"))
+
+
 def equal_terms(a: Column, x: Binding, b: Column, y: Binding) -> Column | None:
     """Term equality of two bindings; None if no two of their terms can be equal."""
     if x.kind == "term" or y.kind == "term":
@@ -128,7 +139,7 @@ def equal_terms(a: Column, x: Binding, b: Column, y: Binding) -> Column | None:
         if not (x.prefix.startswith(y.prefix) or y.prefix.startswith(x.prefix)):
             return None
         if x.prefix and not y.prefix:  # a constant or free IRI against a key: compare keys, so that scans can filter
-            key = F.when(b.startswith(x.prefix), F.substring(b, len(x.prefix) + 1, 1 << 20))
+            key = F.when(b.startswith(x.prefix), b.substr(F.lit(len(x.prefix) + 1), F.length(b)))
             return a.cast("string") == key
         if y.prefix and not x.prefix:
             return equal_terms(b, y, a, x)
@@ -212,8 +223,62 @@ def _merged(joined: DataFrame, left: Relation, right: Relation, outer: bool) ->
     return Relation(joined.select(*cols), vars_)
 
 
+#: Shared variables that may be unbound up to which a join is split by which of them are.
+MOST_PATTERNS = 3
+
+
+def _strict(left: Relation, right: Relation) -> bool:
+    """Whether some shared variable is always bound: it is the join's key, whatever the others allow."""
+    return any(v in right.vars and not left.vars[v].nullable and not right.vars[v].nullable for v in left.vars)
+
+
+def _patterns(r: Relation, other: Relation) -> list[tuple[Relation, frozenset[str]]]:
+    """The relation's rows by which of the variables that it shares with the other are unbound: (rows, unbound ones).
+
+    In each part the other variables count as bound, and the unbound ones as absent.
+    """
+    open_ = [v for v in r.vars if v in other.vars and r.vars[v].nullable]
+    out = []
+    for bits in range(1 << len(open_)):
+        unbound = frozenset(v for i, v in enumerate(open_) if bits >> i & 1)
+        tests = [r.col(v).isNull() if v in unbound else r.col(v).isNotNull() for v in open_]
+        df = r.df.where(reduce(lambda a, b: a & b, tests)) if tests else r.df
+        out.append((Relation(df, {v: replace(b, nullable=False) if v in open_ else b for v, b in r.vars.items()}), unbound))
+    return out
+
+
+def _split(left: Relation, right: Relation) -> bool:
+    """Whether unbound variables would leave the join without a key, and few enough of them are shared to split it."""
+    shared = [v for v in left.vars if v in right.vars]
+    return bool(shared) and not _strict(left, right) and sum(r.vars[v].nullable for r in (left, right) for v in shared) <= MOST_PATTERNS
+
+
+def _without(r: Relation, names: frozenset[str]) -> Relation:
+    return Relation(r.df, {v: b for v, b in r.vars.items() if v not in names})
+
+
 def join(left: Relation, right: Relation) -> Relation:
-    """Natural join by term equality; unbound variables are compatible with anything."""
+    """Natural join by term equality; unbound variables are compatible with anything.
+
+    If every shared variable may be unbound, rows are split by which of them are, so that each part is an equality join
+    on the others; only rows that share no bound variable at all form a product.
+    """
+    if not _split(left, right):
+        return _joined(left, right)
+    parts = []
+    for a, p in _patterns(left, right):
+        for b, q in _patterns(right, left):
+            own, others = _sides(a, b)
+            cond, possible = _condition(_without(a, q), _without(b, p))
+            if possible:
+                parts.append(own.crossJoin(others) if cond is None else own.join(others, cond))
+    if not parts:
+        own, others = _sides(left, right)
+        parts = [own.crossJoin(others).where(F.lit(False))]
+    return _merged(reduce(lambda a, b: a.unionByName(b), parts), left, right, False)
+
+
+def _joined(left: Relation, right: Relation) -> Relation:
     a, b = _sides(left, right)
     cond, possible = _condition(left, right)
     if not possible:
@@ -222,30 +287,59 @@ def join(left: Relation, right: Relation) -> Relation:
 
 
 def left_join(left: Relation, right: Relation, condition=None) -> Relation:
-    """OPTIONAL. condition: from the joined relation to a Column, or None."""
-    a, b = _sides(left, right)
-    cond, possible = _condition(left, right)
+    """OPTIONAL. condition: from the joined relation to a Column, or None.
+
+    Split as join is where only the left side's variables may be unbound.
+    """
+    if _split(left, right) and not any(right.vars[v].nullable for v in left.vars if v in right.vars):
+        parts = [_left_joined(a, _without(right, p), condition, right) for a, p in _patterns(left, right)]
+        return _merged(reduce(lambda a, b: a.unionByName(b), parts), left, right, True)
+    return _merged(_left_joined(left, right, condition, right), left, right, True)
+
+
+def _left_joined(left: Relation, keyed: Relation, condition, right: Relation) -> DataFrame:
+    """keyed: the right relation with the variables that count for compatibility."""
+    a, b = _sides(left, right)  # all of the right side's columns
+    cond, possible = _condition(left, keyed)
     cond = F.lit(False) if not possible else F.lit(True) if cond is None else cond
     if condition is not None:
-        names = {**{v: (F.col(f"`..{v}`"), y) for v, y in right.vars.items()}, **{v: (F.col(f"`{v}`"), x) for v, x in left.vars.items()}}
+        names = {**{v: (F.col(f"`..{v}`"), y) for v, y in right.vars.items()}, **{v: (F.col(f"`{v}`"), x) for v, x in left.vars.items() if v in keyed.vars or v not in right.vars}}
         cond = cond & F.coalesce(condition(names), F.lit(False))
-    return _merged(a.join(b, cond, "left"), left, right, True)
+    return a.join(b, cond, "left")
 
 
 def semi_join(left: Relation, right: Relation, anti: bool, need_shared: bool) -> Relation:
-    """[NOT] EXISTS (need_shared False) and MINUS (True: rows that share no bound variable stay)."""
+    """[NOT] EXISTS (need_shared False) and MINUS (True: rows that share no bound variable stay). Split as join is."""
     shared = [v for v in left.vars if v in right.vars]
-    cond, possible = _condition(left, right)
-    how = "left_anti" if anti else "left_semi"
     if not shared and need_shared:
         return left
+    if not _split(left, right):
+        return _semi_joined(left, right, anti, need_shared)
+    kept = []
+    for a, p in _patterns(left, right):
+        rest = a
+        for b, q in _patterns(right, left):
+            if need_shared and not set(shared) - p - q:
+                continue
+            x, y = _without(rest, q), _without(b, p)
+            if not anti:
+                kept.append(_semi_joined(x, y, False, False).df)
+            rest = Relation(_semi_joined(x, y, True, False).df, rest.vars)
+        if anti:
+            kept.append(rest.df)
+    return Relation(reduce(lambda a, b: a.unionByName(b), kept) if kept else left.df.where(F.lit(False)), left.vars)
+
+
+def _semi_joined(left: Relation, right: Relation, anti: bool, need_shared: bool) -> Relation:
+    shared = [v for v in left.vars if v in right.vars]
+    cond, possible = _condition(left, right)
     a, b = _sides(left, right)
     if not possible:
         return left if anti else Relation(left.df.where(F.lit(False)), left.vars)
     if need_shared and any(left.vars[v].nullable or right.vars[v].nullable for v in shared):
         both = reduce(lambda x, y: x | y, [F.col(f"`{v}`").isNotNull() & F.col(f"`..{v}`").isNotNull() for v in shared])
         cond = cond & both
-    return Relation(a.join(b, F.lit(True) if cond is None else cond, how), left.vars)
+    return Relation(a.join(b, F.lit(True) if cond is None else cond, "left_anti" if anti else "left_semi"), left.vars)
 
 
 def project(r: Relation, names: list[str]) -> Relation:

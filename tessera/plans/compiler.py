@@ -25,6 +25,20 @@ def _compatible(a: Source, b: Source) -> bool:
     return any(p.startswith(q) or q.startswith(p) for p in a.prefixes for q in b.prefixes)
 
 
+#: Steps that a path follows from a ground end one by one; beyond, what is left of the graph is closed by doubling.
+STEPS = 12
+
+
+def _closure(edges):
+    """All pairs that edges (a, b) connect: new pairs join all pairs until none is new; each round is written."""
+    pairs = fresh = written(edges)
+    while not fresh.isEmpty():
+        more = fresh.alias("l").join(pairs.alias("r"), F.col("l.b") == F.col("r.a")).select(F.col("l.a").alias("a"), F.col("r.b").alias("b")).distinct()
+        fresh = written(more.join(pairs, ["a", "b"], "left_anti"))
+        pairs = pairs.union(fresh)
+    return pairs
+
+
 class Compiler:
     def __init__(self, spark, sources: list[Source], tbox=None, dedup_sources: bool = False):
         self.spark, self.sources, self.tbox, self.dedup = spark, sources, tbox, dedup_sources
@@ -159,34 +173,59 @@ class Compiler:
         return {v: (r.col(v), b) for v, b in r.vars.items()}
 
     def _path(self, n: A.Path) -> Relation:
-        """Pairs reachable by the step: new pairs join all pairs until none is new, so that lengths double; each round is written."""
+        """Pairs that the step connects, over any number of steps if it repeats; each round is written.
+
+        From a ground end only what it reaches is followed. Between free ends new pairs join all pairs until none is
+        new, so that lengths double. Steps of no length connect every term of the graph with itself.
+        """
         self.needed |= {n.start, n.end}
         step = self.node(n.step)
-        text = [E.str_of((step.col(v), step.vars[v])) for v in (n.start, n.end)]
-        edges = written(step.df.select(text[0].alias("a"), text[1].alias("b")).distinct())
-        pairs, fresh = edges, edges
-        while n.repeat:
-            more = fresh.alias("l").join(pairs.alias("r"), F.col("l.b") == F.col("r.a")).select(F.col("l.a").alias("a"), F.col("r.b").alias("b")).distinct()
-            fresh = written(more.join(pairs, ["a", "b"], "left_anti"))
-            if fresh.isEmpty():
-                break
-            pairs = pairs.union(fresh)
+        iris = all(step.vars[v].kind == "iri" for v in (n.start, n.end)) and not (n.least == 0 and isinstance(n.s, Var) and isinstance(n.o, Var))
+        key = (lambda v, r: R.iri_text(r.col(v), r.vars[v])) if iris else (lambda v, r: R.term_key(R.as_term(r.col(v), r.vars[v])))
+        ground = lambda t: None if isinstance(t, Var) else F.lit(t.value if isinstance(t, Iri) else None) if iris else R.term_key(R.term_of(t))
+        edges = step.df.select(key(n.start, step).alias("a"), key(n.end, step).alias("b")).distinct()
+        first, last = ground(n.s), ground(n.o)
+        if n.repeat and (first is not None or last is not None):
+            edges = written(edges)
+            a, b = ("a", "b") if first is not None else ("b", "a")  # follow from the ground end
+            pairs = fresh = written(edges.where(F.col(a) == (first if first is not None else last)))
+            for _ in range(STEPS):
+                if fresh.isEmpty():
+                    break
+                more = fresh.alias("l").join(edges.alias("r"), F.col(f"l.{b}") == F.col(f"r.{a}")).select(F.col(f"l.{a}").alias(a), F.col(f"r.{b}").alias(b)).distinct()
+                fresh = written(more.join(pairs, ["a", "b"], "left_anti").select("a", "b"))
+                pairs = pairs.union(fresh)
+            else:  # a long way: what isn't followed yet is closed by doubling
+                done = pairs.select(F.col(b).alias(a)).join(fresh.select(F.col(b).alias(a)), a, "left_anti").distinct()
+                rest = _closure(edges.join(done, a, "left_anti").select("a", "b"))
+                more = fresh.alias("l").join(rest.alias("r"), F.col(f"l.{b}") == F.col(f"r.{a}")).select(F.col(f"l.{a}").alias(a), F.col(f"r.{b}").alias(b))
+                pairs = pairs.union(more.select("a", "b")).distinct()
+        elif n.repeat:
+            pairs = _closure(edges)
+        else:
+            pairs = edges
         if n.least == 0:
-            ends = edges.select("a").union(edges.select("b")).distinct()
-            ground = [t.value for t in (n.s, n.o) if isinstance(t, Iri)]
-            if ground:
-                ends = ends.union(self.spark.createDataFrame([(g,) for g in ground], "a string")).distinct()
-            pairs = pairs.union(ends.select("a", F.col("a").alias("b"))).distinct()
-        cols, vars_ = [], {}
-        for t, c in ((n.s, "a"), (n.o, "b")):
-            if isinstance(t, Var) and t.name not in vars_:
-                cols.append(F.col(c).alias(t.name))
-                vars_[t.name] = Binding("iri")
-            elif isinstance(t, Iri):
-                pairs = pairs.where(F.col(c) == t.value)
-            else:
-                pairs = pairs.where("a = b")
-        return Relation(pairs.select(*cols), vars_)
+            ends = [x for x in (first, last) if x is not None]
+            nodes = reduce(lambda x, y: x.union(y), [self.spark.range(1).select(x.alias("a")) for x in ends]) if ends else self._terms()
+            pairs = pairs.union(nodes.select("a", F.col("a").alias("b"))).distinct()
+        for x, c in ((first, "a"), (last, "b")):
+            if x is not None:
+                pairs = pairs.where(F.col(c) == x)
+        names = {t.name: F.col(c) for t, c in ((n.o, "b"), (n.s, "a")) if isinstance(t, Var)}
+        if isinstance(n.s, Var) and n.s == n.o:
+            pairs = pairs.where("a = b")
+        shape = Binding("iri") if iris else TERMS
+        return Relation(pairs.select(*[(c if iris else R.term_of_key(c)).alias(v) for v, c in names.items()]), {v: shape for v in names})
+
+    def _terms(self):
+        """(a): the key of every term that is a subject or an object in some source that can be scanned."""
+        s, p, o = Var(".s"), Var(".p"), Var(".o")
+        self.needed |= {".s", ".p", ".o"}
+        every = self.star([self.wanted(A.Triple(s, p, o))])
+        every = every if isinstance(every, Relation) or any(x.required for x in self.sources) else every(Relation(self.spark.range(1).select(), {}))
+        if not isinstance(every, Relation):
+            raise ValueError("a path of no length between free ends needs sources that can be scanned")
+        return reduce(lambda x, y: x.union(y), [every.df.select(R.term_key(R.as_term(every.col(v), every.vars[v])).alias("a")) for v in (".s", ".o")]).distinct()
 
     # -- basic graph patterns
 
@@ -204,14 +243,33 @@ class Compiler:
             stars.setdefault(t.s, []).append(self.wanted(t))
         if not stars:
             return Relation(self.spark.range(1).select(), {})
+        stars = self._exclusive(stars)
         # Stars with a ground term first: what they bind keeps the later joins small.
         ground = lambda ws: -sum(not isinstance(t, Var) for w in ws for t in (w.s, w.o))
         bound = [s for ws in stars.values() for s in [self.star(ws)]]
         order = sorted(range(len(bound)), key=lambda i: (self._needs_input(list(stars.values())[i]), ground(list(stars.values())[i]), i))
         return self.joined_sources([bound[i] for i in order])
 
-    def _needs_input(self, ws: list[Wanted]) -> bool:
-        return any(s.required for w in ws for s in self.candidates(w))
+    def _exclusive(self, stars: dict) -> dict:
+        """Stars that share variables and that only one endpoint answers go to it together."""
+        out: dict = {}
+        for s, ws in stars.items():
+            found = {c for w in ws for c in self.candidates(w)}
+            one = next(iter(found)) if len(found) == 1 and all(self.candidates(w) for w in ws) else None
+            if one is None or not one.groups:
+                out[s] = ws
+                continue
+            names = lambda xs: {t.name for w in xs for t in (w.s, w.p, w.o) if isinstance(t, Var)}
+            group = list(ws)
+            for key in [k for k in out if isinstance(k, tuple) and k[0] is one and names(out[k]) & names(ws)]:
+                group = out.pop(key) + group
+            out[(one, s)] = group
+        return out
+
+    def _needs_input(self, ws: list[Wanted]) -> int:
+        """0: none; 1: it can use what is bound before; 2: it must."""
+        found = [s for w in ws for s in self.candidates(w)]
+        return 2 if any(s.required for s in found) else int(any(s.binds for s in found))
 
     def joined_sources(self, rels: list) -> Relation:
         """Joins; a star on a source with required inputs is a function of what is bound before it."""
@@ -241,7 +299,7 @@ class Compiler:
             own = [[s for s in c if s in g] for c in cands]
             if not all(own):
                 continue
-            if len(g) == 1 and g[0].required:
+            if len(g) == 1 and (g[0].required or g[0].binds and len(groups) == 1):
                 return lambda left, s=g[0]: s.bound_star(ws, left, self)
             answers.append(g[0].star(ws, self.needed) if len(g) == 1 else self.mixed(ws, own))
         if not answers:
@@ -334,8 +392,9 @@ def aggregate(a: A.Aggregate, names: dict):
     if a.name in ("SUM", "AVG"):
         n, t = E.number((c, b))
         f = {("SUM", False): F.sum, ("SUM", True): F.sum_distinct, ("AVG", False): F.avg, ("AVG", True): lambda x: F.sum_distinct(x) / F.count_distinct(x)}[a.name, a.distinct]
-        out = f(n)
-        return F.coalesce(out, F.lit(0)), Binding("lit", dt=t if a.name == "SUM" and t else DECIMAL if t in (INTEGER, DECIMAL) else DOUBLE)
+        # A value that isn't a number makes the aggregate an error, which is unbound; over no values it is 0.
+        out = F.when(F.count(c) > F.count(n), F.lit(None)).otherwise(F.coalesce(f(n), F.lit(0)))
+        return out, Binding("lit", dt=t if a.name == "SUM" and t else DECIMAL if t in (INTEGER, DECIMAL) else DOUBLE)
     if a.name == "GROUP_CONCAT":
         s = E.str_of((c, b))
         items = F.collect_set(s) if a.distinct else F.collect_list(s)

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import results, testendpoint
+from .federation import Federation
 from .reasoning import TBox
+from .runtime import scratch
+from .sources.files import csv_source, json_source
 from .sources.r2rml import R2rml
-from .sources.triples import SCHEMA, TripleSource, rows_of, TurtleReader
-from .testgraph import BASE, NS, PREFIXES, federation
-from .terms import RDFS
+from .sources.remote import SparqlSource
+from .sources.triples import SCHEMA, TripleSource, TurtleReader, rdf_file, rows_of
+from .sources.webapi import Api, WebApiSource
+from .terms import RDFS, STRING, Iri, Lit
+from .testgraph import BASE, NS, PREFIXES, context, federation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -165,8 +173,6 @@ def materialised_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables as a generic triple store: the same query as joins over triples."""
     whole = federation(spark, sf_dir, ["customer", "nation"]).query("SELECT ?s ?p ?o WHERE { ?s ?p ?o }", "terms")
     triples = whole.selectExpr("s.lex AS s", "p.lex AS p", "o.k AS k", "o.lex AS lex", "o.dt AS dt", "o.lang AS lang")
-    from .federation import Federation
-
     fed = Federation(spark).add_source(TripleSource(triples, "triples"))
     return fed.query(PREFIXES + "SELECT ?n ?nn WHERE { ?c :c_name ?n ; :c_acctbal ?b ; :c_nationkey ?k . ?k :n_name ?nn FILTER(?b > 5000) }")
 
@@ -177,3 +183,110 @@ def path_plus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fed.query(PREFIXES + "SELECT ?x ?y WHERE { ?x (:c_nationkey|:n_regionkey)+ ?y }")
 
 
+
+
+@registered("path_star", "WITH RECURSIVE e(a, b) AS (SELECT 'BASEnation/' || n_nationkey, 'BASEregion/' || n_regionkey FROM nation), n(a) AS (SELECT 'BASEnation/' || n_nationkey FROM nation UNION SELECT 'BASEregion/' || r_regionkey FROM region UNION SELECT 'NS#Nation' UNION SELECT 'NS#Region' UNION SELECT n_name FROM nation UNION SELECT r_name FROM region), k(a, dt) AS (SELECT n_nationkey::VARCHAR, 'int' FROM nation UNION SELECT r_regionkey::VARCHAR, 'int' FROM region) SELECT a AS x, a AS y FROM n UNION ALL SELECT a, a FROM k UNION ALL SELECT a, b FROM e")
+def path_star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Between free ends a path of no length connects every term of the graph with itself."""
+    return federation(spark, sf_dir, ["nation", "region"]).query(PREFIXES + "SELECT ?x ?y WHERE { ?x :n_regionkey* ?y }")
+
+
+sparql("path_from_constant", f"SELECT ?y WHERE {{ <{BASE}customer/1> (:c_nationkey|:n_regionkey)+ ?y }}", "SELECT 'BASEnation/' || c_nationkey AS y FROM customer WHERE c_custkey = 1 UNION ALL SELECT 'BASEregion/' || n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = 1", "customer nation")
+sparql("path_to_constant", f"SELECT ?x WHERE {{ ?x (:c_nationkey|:n_regionkey)+ <{BASE}region/1> }}", "SELECT 'BASEnation/' || n_nationkey AS x FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'BASEcustomer/' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1", "customer nation")
+sparql("path_optional", "SELECT ?n ?y WHERE { ?x :n_name ?n ; :n_regionkey? ?y }", "SELECT n_name AS n, 'BASEnation/' || n_nationkey AS y FROM nation UNION ALL SELECT n_name, 'BASEregion/' || n_regionkey FROM nation", "nation")
+sparql("path_literal_end", "SELECT ?x ?y WHERE { ?x (:c_nationkey|:n_name)+ ?y FILTER(isLiteral(?y)) }", "SELECT 'BASEnation/' || n_nationkey AS x, n_name AS y FROM nation UNION ALL SELECT 'BASEcustomer/' || c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey", "customer nation")
+sparql("optional_rejoin", "SELECT ?n ?s ?z WHERE { ?x :n_name ?n OPTIONAL { ?s :s_nationkey ?x ; :s_acctbal ?b FILTER(?b > 5000) } OPTIONAL { ?s :s_name ?z } }", "SELECT n_name AS n, 'BASEsupplier/' || coalesce(a.s_suppkey, c.s_suppkey) AS s, coalesce(a.s_name, c.s_name) AS z FROM nation LEFT JOIN supplier a ON a.s_nationkey = n_nationkey AND a.s_acctbal > 5000 LEFT JOIN supplier c ON a.s_suppkey IS NULL", "nation supplier")
+sparql("offset_rows", "SELECT ?k WHERE { ?c :c_custkey ?k } ORDER BY ?k OFFSET 7", "SELECT c_custkey AS k FROM customer ORDER BY 1 OFFSET 7", "customer")
+sparql("sub_select", "SELECT ?n ?most WHERE { { SELECT ?x (MAX(?b) AS ?most) WHERE { ?c :c_nationkey ?x ; :c_acctbal ?b } GROUP BY ?x } ?x :n_name ?n }", "SELECT n_name AS n, most FROM (SELECT c_nationkey, max(c_acctbal) AS most FROM customer GROUP BY 1) JOIN nation ON c_nationkey = n_nationkey", "customer nation")
+sparql("projected_unbound", "SELECT ?n ?none WHERE { ?x :r_name ?n }", "SELECT r_name AS n, NULL::VARCHAR AS none FROM region", "region")
+sparql("unanswerable_pattern", "SELECT ?n ?o WHERE { ?x :r_name ?n OPTIONAL { ?x :nowhere ?o } }", "SELECT r_name AS n, NULL::VARCHAR AS o FROM region", "region")
+
+
+@registered("federation_as_source", "SELECT c_name AS n, n_name AS nn FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9000")
+def federation_as_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outer = federation(spark, sf_dir, ["customer"])
+    outer.add_source(federation(spark, sf_dir, ["nation", "region"], name="inner"))
+    return outer.query(PREFIXES + "SELECT ?n ?nn WHERE { ?c :c_name ?n ; :c_acctbal ?b ; :c_nationkey ?x . ?x :n_name ?nn FILTER(?b > 9000) }")
+
+
+@registered("equivalent_sources", "SELECT n_name AS n FROM nation")
+def equivalent_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of two sources that are declared equivalent one is asked."""
+    fed = federation(spark, sf_dir, ["nation"])
+    twin = federation(spark, sf_dir, ["nation"]).sources[0]
+    twin.name, twin.equivalent_to = "nation-mirror", "nation"
+    return fed.add_source(twin).query(PREFIXES + "SELECT ?n WHERE { ?x :n_name ?n }")
+
+
+def _written(spark: SparkSession, rows: DataFrame, how: str, **options) -> str:
+    path = f"{scratch(spark)}/{how}-{uuid.uuid4().hex}"
+    rows.write.options(**options).format(how).save(path)
+    return path
+
+
+@registered("csv_file", "SELECT n_name AS n, r_name AS rn FROM nation JOIN region ON n_regionkey = r_regionkey")
+def csv_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nations from a CSV file that is written first."""
+    ctx, links = context("nation")
+    path = _written(spark, spark.read.parquet(f"{sf_dir}/nation.parquet"), "csv", header=True)
+    fed = federation(spark, sf_dir, ["region"]).add_source(csv_source(spark, path, ctx, "nation", links=links))
+    return fed.query(PREFIXES + "SELECT ?n ?rn WHERE { ?x :n_name ?n ; :n_regionkey ?r . ?r :r_name ?rn }")
+
+
+@registered("json_file", "SELECT s_name AS n, s_acctbal AS b FROM supplier WHERE s_acctbal > 1000")
+def json_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers from a JSON file that is written first."""
+    ctx, links = context("supplier")
+    path = _written(spark, spark.read.parquet(f"{sf_dir}/supplier.parquet"), "json")
+    fed = Federation(spark).add_source(json_source(spark, path, ctx, "supplier", links=links))
+    return fed.query(PREFIXES + "SELECT ?n ?b WHERE { ?x :s_name ?n ; :s_acctbal ?b FILTER(?b > 1000) }")
+
+
+@registered("ntriples_file", "SELECT n_name AS n, r_name AS rn FROM nation JOIN region ON n_regionkey = r_regionkey")
+def ntriples_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations and regions as an N-Triples file, gzip-compressed, that is written first."""
+    text = federation(spark, sf_dir, ["nation", "region"]).query("SELECT ?s ?p ?o WHERE { ?s ?p ?o }", "ntriples")
+    path = _written(spark, text.selectExpr("concat(s, ' ', p, ' ', o, ' .') AS value"), "text", compression="gzip")
+    fed = Federation(spark).add_source(rdf_file(spark, path, "file"))
+    return fed.query(PREFIXES + "SELECT ?n ?rn WHERE { ?x :n_name ?n ; :n_regionkey ?r . ?r :r_name ?rn }")
+
+
+@registered("result_csv", "SELECT 'BASEnation/' || n_nationkey || ',' || n_name || ',' || n_nationkey AS value FROM nation")
+def result_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fed = federation(spark, sf_dir, ["nation"])
+    return results.csv_lines(fed.compile(fed.plan(PREFIXES + "SELECT ?x ?n ?k WHERE { ?x :n_name ?n ; :n_nationkey ?k }")))
+
+
+@registered("result_tsv", "SELECT '<BASEnation/' || n_nationkey || '>' || chr(9) || '\"' || n_name || '\"' || chr(9) || '<BASEregion/' || n_regionkey || '>' AS value FROM nation")
+def result_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fed = federation(spark, sf_dir, ["nation"])
+    return results.tsv_lines(fed.compile(fed.plan(PREFIXES + "SELECT ?x ?n ?r WHERE { ?x :n_name ?n ; :n_regionkey ?r }")))
+
+
+@registered("result_json", "SELECT '{\"x\":{\"type\":\"uri\",\"value\":\"BASEnation/' || n_nationkey || '\"},\"n\":{\"type\":\"literal\",\"value\":\"' || n_name || '\"}}' AS value FROM nation")
+def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fed = federation(spark, sf_dir, ["nation"])
+    return results.json_bindings(fed.compile(fed.plan(PREFIXES + "SELECT ?x ?n WHERE { ?x :n_name ?n }")))
+
+
+@registered("remote_sparql_join", "SELECT c_name AS n, n_name AS nn FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 5000")
+def remote_sparql_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers joined with nations of an endpoint, which is asked for the nations that occur, in VALUES batches."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").collect()  # the 25 rows of the endpoint in this process
+    endpoint = testendpoint.serve([(Iri(f"{BASE}nation/{r.n_nationkey}"), Iri(NS + "n_name"), Lit(r.n_name, STRING)) for r in nations])
+    fed = federation(spark, sf_dir, ["customer"]).add_source(SparqlSource(spark, f"http://127.0.0.1:{endpoint.server_port}/sparql"))
+    return fed.query(PREFIXES + "SELECT ?n ?nn WHERE { ?c :c_name ?n ; :c_acctbal ?b ; :c_nationkey ?x . ?x :n_name ?nn FILTER(?b > 5000) }")
+
+
+@registered("web_api_join", "SELECT n_name AS n, 100 + n_nationkey AS code FROM nation")
+def web_api_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations joined with a JSON API that is asked once for each; its answers are made up by a function of the key."""
+    api = Api("http://api.test/codes{?key}", {NS + "forNation": "key"}, {"id": "long", "code": "long"}, get=_answer_of_codes)
+    ctx = {"@context": {"@uriProperty": "id", "code": NS + "code", "key": NS + "forNation"}, "@instancePrefix": "http://api.test/code/"}
+    fed = federation(spark, sf_dir, ["nation"]).add_source(WebApiSource(spark, api, ctx, "codes"))
+    return fed.query(PREFIXES + "SELECT ?n ?code WHERE { ?x :n_nationkey ?k ; :n_name ?n . ?y :forNation ?k ; :code ?code }")
+
+
+def _answer_of_codes(url: str) -> str:
+    key = int(url.rsplit("=", 1)[1])
+    return json.dumps({"id": key, "code": 100 + key})

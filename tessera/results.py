@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +44,7 @@ def json_bindings(r: Relation) -> DataFrame:
     """One binding object per row (`value`); unbound variables and the datatype xsd:string are left out."""
     def one(t: Column) -> Column:
         kind = F.when(t["k"] == "I", F.lit("uri")).when(t["k"] == "B", F.lit("bnode")).otherwise(F.lit("literal"))
-        value = F.when(t["k"] == "B", F.substring(t["lex"], 3, 1 << 20)).otherwise(t["lex"])
+        value = F.when(t["k"] == "B", t["lex"].substr(F.lit(3), F.length(t["lex"]))).otherwise(t["lex"])
         dt = F.when(t["lang"].isNull() & (t["dt"] != STRING), t["dt"])
         return F.when(t.isNotNull(), F.struct(kind.alias("type"), value.alias("value"), t["lang"].alias("xml:lang"), dt.alias("datatype")))
 
@@ -49,14 +52,22 @@ def json_bindings(r: Relation) -> DataFrame:
     return r.df.select((F.to_json(F.struct(*cols)) if cols else F.lit("{}")).alias("value"))
 
 
+def json_pieces(r: Relation, ask: bool = False) -> Iterator[str]:
+    """A result document in pieces, a binding each, as rows are read."""
+    if ask:
+        yield json.dumps({"head": {}, "boolean": not r.df.isEmpty()})
+        return
+    comma = ""
+    yield f'{{"head":{{"vars":{json.dumps(list(r.vars))}}},"results":{{"bindings":['
+    for x in json_bindings(r).toLocalIterator():
+        yield comma + x["value"]
+        comma = ","
+    yield "]}}"
+
+
 def json_document(r: Relation, ask: bool = False) -> str:
     """A whole result document, for results that fit the driver."""
-    import json
-
-    if ask:
-        return json.dumps({"head": {}, "boolean": not r.df.isEmpty()})
-    rows = ",".join(x["value"] for x in json_bindings(r).collect())
-    return f'{{"head":{{"vars":{json.dumps(list(r.vars))}}},"results":{{"bindings":[{rows}]}}}}'
+    return "".join(json_pieces(r, ask))
 
 
 def write(r: Relation, path: str, how: str = "csv") -> None:

@@ -33,6 +33,10 @@ class Source:
     prefixes: tuple[str, ...] | None = ("",)
     equivalent_to: str | None = None
     required: frozenset[str] = frozenset()
+    #: Whether it has bound_star, which joins a star with what is bound before; with required inputs it must.
+    binds = False
+    #: Whether it answers patterns of several subjects at once.
+    groups = False
 
     def may_match(self, w: Wanted) -> bool:
         raise NotImplementedError

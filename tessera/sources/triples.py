@@ -60,18 +60,25 @@ class TripleSource(Source):
         return Relation(df.select(*[c.alias(v) for v, (c, _) in star.names.items()]), {v: b for v, (_, b) in star.names.items()})
 
 
-def read_ntriples(spark: SparkSession, paths) -> DataFrame:
-    """N-Triples files, split over tasks; blank labels stay distinct per read by the file's name."""
-    line = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:[^\s.]\S*|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)\s*\.\s*(?:#.*)?$'
-    rows = spark.read.text(paths).select("value", F.xxhash64(F.col("_metadata.file_path")).alias("file"))
-    rows = rows.select(*[F.regexp_extract("value", line, i).alias(n) for i, n in ((1, "rs"), (2, "p"), (3, "ro"))], "file").where("p <> ''")
-    label = lambda c: F.concat(F.lit("_:"), F.hex("file"), F.lit("-"), F.substring(c, 3, 1 << 20))
+def read_ntriples(spark: SparkSession, paths, malformed: str = "raise") -> DataFrame:
+    """N-Triples and N-Quads files (whose graphs are merged), compressed or not, split over tasks.
+
+    Blank labels stay distinct per read by the file's name. malformed: what a line that is no triple does, "raise" or "skip".
+    """
+    # A literal ends at the first quote that isn't escaped; no loop of the pattern nests, whatever the literal's length.
+    line = r'(?s)^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:[^\s.]\S*|".*?"(?<=(?<!\\)(?:\\\\){0,50}")(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)\s*(?:<[^>]*>\s*|_:\S+\s+)?\.\s*(?:#.*)?$'
+    rows = spark.read.text(paths).where(~F.col("value").rlike(r"^\s*(?:#.*)?$")).select("value", F.xxhash64(F.col("_metadata.file_path")).alias("file"))
+    rows = rows.select(*[F.regexp_extract("value", line, i).alias(n) for i, n in ((1, "rs"), (2, "p"), (3, "ro"))], "file", "value")
+    bad = F.raise_error(F.concat(F.lit("not a triple: "), F.substring("value", 1, 200))).cast("string")
+    rows = rows.withColumn("p", F.when(F.col("p") == "", bad).otherwise(F.col("p"))) if malformed == "raise" else rows.where("p <> ''")
+    label = lambda c: F.concat(F.lit("_:"), F.hex("file"), F.lit("-"), c.substr(F.lit(3), F.length(c)))
     node = lambda c: F.when(c.startswith("<"), _unescaped(F.expr("substring({0}, 2, length({0}) - 2)".format("rs" if c is s else "ro")))).otherwise(label(c))
     s, o = F.col("rs"), F.col("ro")
     literal = o.startswith('"')
-    body = F.regexp_extract(o, r'^"((?:[^"\\]|\\.)*)"', 1)
-    lang = F.regexp_extract(o, r'"@([A-Za-z0-9-]+)$', 1)
-    typed = F.regexp_extract(o, r'"\^\^<([^>]*)>$', 1)
+    suffix = F.regexp_extract(o, r'"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?$', 0)
+    body = o.substr(F.lit(2), F.length(o) - F.length(suffix) - 1)
+    lang = F.regexp_extract(suffix, r'"@([A-Za-z0-9-]+)$', 1)
+    typed = F.regexp_extract(suffix, r'"\^\^<([^>]*)>$', 1)
     return rows.select(
         node(s).alias("s"), "p",
         F.when(literal, F.lit("L")).when(o.startswith("<"), F.lit("I")).otherwise(F.lit("B")).alias("k"),
@@ -82,15 +89,19 @@ def read_ntriples(spark: SparkSession, paths) -> DataFrame:
 
 
 def _unescaped(c):
-    """N-Triples escapes: only rows that hold a backslash are touched."""
-    mark = ""
-    out = F.replace(c, F.lit("\\\\"), F.lit(mark))
-    for raw, esc in (('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        out = F.replace(out, F.lit(esc), F.lit(raw))
-    pieces = F.split(out, r"\\u(?=[0-9A-Fa-f]{4})")
-    decode = lambda x: F.concat(F.decode(F.unhex(F.substring(x, 1, 4)), "UTF-16BE"), F.substring(x, 5, 1 << 20))
-    out = F.when(F.size(pieces) > 1, F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, 2, 1 << 20), decode), ""))).otherwise(out)
-    return F.when(c.contains("\\"), F.replace(out, F.lit(mark), F.lit("\\"))).otherwise(c)
+    """N-Triples escapes, decoded as those of JSON, which are the same but for \\U; only rows with a backslash are touched."""
+    pieces = F.split(c, r"(?<=(?:^|[^\\])(?:\\\\){0,50})\\U(?=[0-9A-Fa-f]{8})")
+
+    def short(x):
+        code = F.conv(F.substring(x, 1, 8), 16, 10).cast("long") - 0x10000
+        unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.hex(n), 4, "0"))
+        pair = F.concat(unit(F.lit(0xD800) + F.shiftright(code, 10)), unit(F.lit(0xDC00) + code.bitwiseAND(0x3FF)))
+        return F.concat(F.when(code < 0, F.concat(F.lit("\\u"), F.substring(x, 5, 4))).otherwise(pair), x.substr(F.lit(9), F.length(x)))
+
+    plain = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), short), ""))
+    options = {"allowUnquotedControlChars": "true", "allowBackslashEscapingAnyCharacter": "true"}
+    decoded = F.get(F.from_json(F.concat(F.lit('["'), plain, F.lit('"]')), "array<string>", options), F.lit(0))
+    return F.when(c.contains("\\"), F.coalesce(decoded, c)).otherwise(c)
 
 
 class TurtleReader(P.TermReader):

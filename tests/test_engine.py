@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera import results
 from tessera.config import load
 from tessera.federation import Federation
+from tessera.operators.relation import Binding, Relation, join, left_join, semi_join
 from tessera.plans import algebra as A
 from tessera.plans.parser import ParseError, parse
 from tessera.plans.rewrite import TemplateLoop
@@ -100,6 +101,43 @@ def test_paths(people):
     assert ask(people, "SELECT ?y WHERE { :ann :knows? ?y }") == [("http://e.x/ann",), ("http://e.x/bob",)]
 
 
+def test_paths_end_at_terms_of_any_kind(people):
+    assert ask(people, "SELECT ?y WHERE { :cat (:name|:age)+ ?y }", "ntriples") == [('"4.5"^^<http://www.w3.org/2001/XMLSchema#decimal>',), ('"Tom"',)]
+    assert ask(people, 'SELECT ?x WHERE { ?x (:knows|:name)+ "Tom" }') == [("http://e.x/ann",), ("http://e.x/bob",), ("http://e.x/cat",)]
+    assert ask(people, "SELECT ?x WHERE { ?x :knows+ :cat }") == [("http://e.x/ann",), ("http://e.x/bob",)]
+    assert ask(people, "SELECT ?x WHERE { :ann :knows+ :cat . ?x a :Cat }") == [("http://e.x/cat",)]
+    assert ask(people, "SELECT ?x WHERE { :cat :knows+ :ann . ?x a :Cat }") == []
+    assert ask(people, "SELECT ?x WHERE { ?x :knows+ ?x }") == []
+    assert ask(people, "SELECT ?x WHERE { :nobody :knows* ?x }") == [("http://e.x/nobody",)]
+    every = ask(people, "SELECT ?x ?y WHERE { ?x :weight? ?y }", "ntriples")
+    assert ('"Tom"', '"Tom"') in every and ("<http://e.x/cat>", '"3.20"^^<http://e.x/kg>') in every and len(every) == 16
+
+
+def test_optional_variables_are_joined_by_value(spark, people):
+    """What an OPTIONAL leaves unbound matches anything; no plan compares all rows with all."""
+    text = "SELECT ?x ?y ?n WHERE { ?x a :Person OPTIONAL { ?x :knows ?y . ?y a :Cat } ?y :name ?n }"
+    names = [("http://e.x/ann", "Ana"), ("http://e.x/ann", "Ann"), ("http://e.x/bob", "Bob"), ("http://e.x/cat", "Tom")]
+    got = ask(people, text)
+    assert got == sorted([("http://e.x/bob", "http://e.x/cat", "Tom")] + [("http://e.x/ann", y, n) for y, n in [*names, next((r[1], r[2]) for r in got if r[2] == "Nobody")]], key=repr)
+    assert ask(people, "SELECT ?x ?w WHERE { ?x a :Person OPTIONAL { ?x :knows ?y . ?y a :Cat } OPTIONAL { ?y :weight ?w } }") == [("http://e.x/ann", "3.20"), ("http://e.x/bob", "3.20")]
+    assert ask(people, "SELECT ?x WHERE { ?x a :Person OPTIONAL { ?x :knows ?y . ?y a :Cat } FILTER NOT EXISTS { ?y :weight ?w } }") == []
+    assert ask(people, "SELECT ?x ?y WHERE { OPTIONAL { ?x :knows ?y . ?y a :Cat } MINUS { ?y :weight ?w } }") == []
+    both = [Relation(spark.createDataFrame(rows, "a long, b long"), {v: Binding("lit", dt="x", nullable=True) for v in "ab"}) for rows in ([(1, 2), (1, None), (None, 3), (None, None)], [(1, 2), (None, 2), (4, None), (1, 3)])]
+    fits = lambda p, q: all(x is None or y is None or x == y for x, y in zip(p, q))
+    left, right = ([tuple(r) for r in x.df.collect()] for x in both)
+    merge = lambda p, q: tuple(y if x is None else x for x, y in zip(p, q))
+    rows = lambda r: sorted([tuple(x) for x in r.df.collect()], key=repr)
+    assert rows(join(*both)) == sorted([merge(p, q) for p in left for q in right if fits(p, q)], key=repr)
+    assert rows(semi_join(*both, anti=False, need_shared=False)) == sorted([p for p in left if any(fits(p, q) for q in right)], key=repr)
+    shared = lambda p, q: any(x is not None and y is not None for x, y in zip(p, q))
+    assert rows(semi_join(*both, anti=True, need_shared=True)) == sorted([p for p in left if not any(fits(p, q) and shared(p, q) for q in right)], key=repr)
+    bound = Relation(both[1].df.dropna(), {v: Binding("lit", dt="x") for v in "ab"})
+    assert rows(left_join(both[0], bound)) == sorted([merge(p, q) for p in left for q in bound.df.collect() if fits(p, q)] + [p for p in left if not any(fits(p, q) for q in bound.df.collect())], key=repr)
+    one = Relation(spark.createDataFrame([(1,)], "a long"), {"a": Binding("lit", dt="x", nullable=True)})
+    plan = semi_join(one, Relation(bound.df.select("a"), {"a": Binding("lit", dt="x")}), anti=False, need_shared=True).df._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_functions_on_mixed_terms(people):
     got = ask(people, 'SELECT (datatype(?a) AS ?d) (str(?a) AS ?s) (if(isNumeric(?a), "n", "t") AS ?k) WHERE { ?x :age ?a }')
     assert ("http://www.w3.org/2001/XMLSchema#int", "31", "n") in got and len(got) == 3
@@ -112,6 +150,17 @@ def test_aggregates(people):
     assert ask(people, 'SELECT ?t (GROUP_CONCAT(?n ; SEPARATOR="|") AS ?g) WHERE { ?x a ?t ; :name ?n } GROUP BY ?t') == [("http://e.x/Cat", "Tom"), ("http://e.x/Person", "Ana|Ann|Bob")]
 
 
+def test_aggregates_over_what_is_no_number_are_unbound(people):
+    assert ask(people, "SELECT (SUM(?n) AS ?s) (AVG(?n) AS ?a) WHERE { ?x :name ?n }") == [(None, None)]
+    assert ask(people, "SELECT (SUM(?a) AS ?s) WHERE { ?x :none ?a }") == [(0,)]
+
+
+def test_ntriples_escapes(spark, tmp_path):
+    (tmp_path / "e.nt").write_text('<http://e.x/s> <http://e.x/p> "\\uD83D\\uDE00 \\U0001F600 \\b\\f \\\\u0041 \\\'" .\n<http://e.x/s> <http://e.x/q> "a\\t' + "x" * 1_100_000 + '" .\n')
+    rows = {r.p: r.lex for r in rdf_file(spark, str(tmp_path / "e.nt")).df.collect()}
+    assert rows["http://e.x/p"] == "😀 😀 \b\f \\u0041 '" and rows["http://e.x/q"] == "a\t" + "x" * 1_100_000
+
+
 def test_strict_language():
     for text in ("SELECT ?x WHERE { ?x ?p ?o } ORDER BY ?x", "SELECT ?x WHERE { ?x ?p ?o BIND(1 AS ?y) }", "SELECT ?x WHERE { ?x ^<a:b> ?o }", "SELECT ?z WHERE { ?x ?p ?o }", "SELECT ?x WHERE { ?x ?p ?o MINUS { ?x ?q 1 } }", "SELECT ?x WHERE { ?x ?p ?o } OFFSET 3"):
         parse(text)
