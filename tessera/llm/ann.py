@@ -10,15 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import only, staged, table
+from .shared import only, settled, staged, table
 
 #: Vectors that partition and classifier are fitted on, at most (those with the smallest hash of the id).
 FIT_ROWS = 8192
-PARTS, GRAPH_NEIGHBOURS, BALANCE = 16, 10, 1.1
+GRAPH_NEIGHBOURS, BALANCE = 10, 1.1
+#: Fewest and most partitions; between them there is one for every BLOCK_ROWS vectors. The fitted sample supports no more.
+LEAST_PARTS, MOST_PARTS = 16, 256
 #: Recall on the fitted sample that decides how many partitions a query visits.
 AIM = 0.95
 #: Vectors, and queries, that one task compares at once.
-BLOCK_ROWS, QUERY_ROWS = 20_000, 4096
+BLOCK_ROWS, QUERY_ROWS = 20_000, 8192
 
 
 def nearest(x: np.ndarray, q: np.ndarray, k: int, ids: np.ndarray | None = None, own: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -112,7 +114,7 @@ class Router:
         return np.argsort(-(np.c_[(x - self.mean) / self.scale, np.ones(len(x))] @ self.weights), axis=1, kind="stable")
 
 
-def fit(x: np.ndarray, parts: int = PARTS, k: int = 10, aim: float = AIM) -> tuple[Router, int]:
+def fit(x: np.ndarray, parts: int = LEAST_PARTS, k: int = 10, aim: float = AIM) -> tuple[Router, int]:
     """The router, and how many partitions a query visits: the fewest that find `aim` of the sample's own neighbours."""
     x = np.unique(x, axis=0)
     part, graph = balanced_parts(x, parts)
@@ -130,61 +132,93 @@ def _vectors(col: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), "<f8").reshape(len(col), -1)
 
 
-def _placed(router: Router):
+def _placed(router: Router, visits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = np.stack([np.asarray(v, np.float64) for v in b.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(router.ranked(x).astype(np.int32).tolist(), pa.list_(pa.int32()))], ["vec_id", "vec", "parts"])
+                x = np.stack([np.asarray(v, np.float64) for v in b.column(1).to_pylist()]) + 0.0  # no negative zeros
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(router.ranked(x)[:, :visits].astype(np.int32).tolist(), pa.list_(pa.int32()))], ["vec_id", "vec", "parts"])
 
     return run
 
 
 def _compared(k: int):
     def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
+        none = pd.DataFrame({"q": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
         if not len(vectors) or not len(queries):
             return none
         x, q = (np.frombuffer(b"".join(d["vec"]), "<f8").reshape(len(d), -1) for d in (vectors, queries))
-        ids, own = vectors["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
-        out = [(np.full(len(c), own[i]), ids[c], s) for i, (c, s) in enumerate(nearest(x, q, k, ids, own))]
-        return pd.DataFrame({name: np.concatenate(x) for name, x in zip(none.columns, zip(*out))})
+        ids, name = vectors["vec_id"].to_numpy(), queries["q"].to_numpy()
+        out = [(np.full(len(c), name[i]), ids[c], s) for i, (c, s) in enumerate(nearest(x, q, k, ids))]
+        return pd.DataFrame({n: np.concatenate(v) for n, v in zip(none.columns, zip(*out))})
 
     return run
 
 
-def search(embeddings: DataFrame, every: int = 100, k: int = 10, parts: int = PARTS, fit_rows: int = FIT_ROWS) -> DataFrame:
+def dealt(rows: DataFrame, queries: DataFrame, sizes: list) -> tuple[DataFrame, DataFrame]:
+    """(vectors, queries) by part, block and share. sizes: rows (p, n, q) with each partition's vectors and queries.
+
+    Vectors of a partition are dealt over blocks of about BLOCK_ROWS, its queries over shares of QUERY_ROWS, and every
+    block meets every share: a vector is copied once per share, a query once per block of each partition it visits.
+    Both numbers are of the partition's own size, so that copies don't grow with the table while partitions do.
+    """
+    spark = rows.sparkSession
+    counts = spark.createDataFrame([(r["p"], max(1, -(-r["n"] // BLOCK_ROWS)), max(1, -(-r["q"] // QUERY_ROWS))) for r in sizes], "part int, blocks int, shares int")
+    counts = F.broadcast(counts)  # a row per partition, MOST_PARTS at most
+    slot = lambda c, n, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.select("vec_id", "vec", F.col("parts")[0].alias("part")).join(counts, "part")
+    left = left.withColumn("block", slot("vec_id", "blocks", 1)).withColumn("share", every("shares")).drop("blocks", "shares")
+    right = queries.select("q", "vec", F.explode("parts").alias("part")).join(counts, "part")
+    right = right.withColumn("share", slot("q", "shares", 2)).withColumn("block", every("blocks")).drop("blocks", "shares")
+    return left, right
+
+
+def search(embeddings: DataFrame, every: int = 100, k: int = 10, parts: int | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each row whose vec_id is divisible by `every`.
 
     Rows without vec_id, with a null or all-zero vector, with null or non-finite components, or whose vector isn't of
-    the most frequent length take no part. Rows that repeat a vec_id are candidates each, never for their own id.
-    Router and partition are fitted on a bounded sample; all rows are indexed. A query meets its partitions' rows in
-    blocks of bounded size, so that neither a full partition nor many queries meet in one task. Without valid rows the
-    result is empty.
+    the most frequent length take no part. Rows that repeat a vec_id are candidates each, never for their own id; as
+    queries each has a list of its own vector, and equal ones one list. Router and partition are fitted on a bounded
+    sample; all rows are indexed. Of equal vectors only those with the smallest ids can be among the nearest: so many
+    stay, which is exact; equal queries are searched once. Without valid rows the result is empty.
     """
+    schema = "query_id long, rank int, vec_id long, score double"
+    return settled("ann", embeddings.sparkSession, lambda: _search(embeddings, every, k, parts, fit_rows, schema))
+
+
+def _search(embeddings: DataFrame, every: int, k: int, parts: int | None, fit_rows: int, schema: str) -> DataFrame:
     spark = embeddings.sparkSession
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
     usable = only(embeddings, "vec_id", "embedding").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", finite) & F.exists("embedding", lambda v: v != 0))
     length = usable.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    schema = "query_id long, rank int, vec_id long, score double"
     if length is None:
         return spark.createDataFrame([], schema)
     usable = usable.where(F.size("embedding") == length["d"])
+    parts = parts or min(MOST_PARTS, max(LEAST_PARTS, -(-length["count"] // BLOCK_ROWS)))
     sample = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).collect()  # fit_rows at most
     router, visits = fit(np.array([r["embedding"] for r in sample], np.float64), parts, k)
-    rows = staged(usable.mapInArrow(_placed(router), "vec_id long, vec binary, parts array<int>"), "ann")
-    sizes = rows.groupBy(F.col("parts")[0].alias("p")).agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).collect()  # a row per partition
-    blocks = max(1, -(-max(r["n"] for r in sizes) // BLOCK_ROWS))
-    shares = max(1, -(-sum(r["q"] for r in sizes) // QUERY_ROWS))
-    slot = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
-    every_slot = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.select("vec_id", "vec", F.col("parts")[0].alias("part"), slot(blocks, 1).alias("block")).withColumn("share", every_slot(shares))
-    right = rows.where(F.col("vec_id") % every == 0).select("vec_id", "vec", slot(shares, 2).alias("share"), F.explode(F.slice("parts", 1, visits)).alias("part")).withColumn("block", every_slot(blocks))
+    placed = staged(usable.mapInArrow(_placed(router, visits), "vec_id long, vec binary, parts array<int>"), "ann-placed")
+    repeats = placed.groupBy("vec_id").count().agg(F.max("count")).first()[0]
+    among = k + repeats  # a query's own rows are taken out of what is found
+    least = Window.partitionBy("vec").orderBy("vec_id")
+    rows = staged(placed.withColumn("r", F.row_number().over(least)).where(F.col("r") <= among).select("vec_id", "vec", F.slice("parts", 1, 1).alias("parts")), "ann-rows")
+    asked = placed.where(F.col("vec_id") % every == 0)
+    queries = staged(asked.groupBy("vec").agg(F.min("vec_id").alias("first"), F.first("parts").alias("parts")).select(F.monotonically_increasing_id().alias("q"), "vec", "parts"), "ann-queries")
+    mine = rows.groupBy(F.col("parts")[0].alias("p")).agg(F.count("*").alias("n"))
+    theirs = queries.select(F.explode("parts").alias("p")).groupBy("p").agg(F.count("*").alias("q"))
+    sizes = mine.join(theirs, "p", "left").select("p", "n", F.coalesce("q", F.lit(0)).alias("q")).collect()  # a row per partition
+    left, right = dealt(rows, queries, sizes)
     keys = ["part", "block", "share"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_compared(k), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_compared(among), "q long, vec_id long, score double")
+    best = Window.partitionBy("q").orderBy("score", "vec_id")
+    lists = staged(found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= among).select("q", "vec_id", "score"), "ann-found")
+    named = asked.select(F.col("vec_id").alias("query_id"), "vec").distinct().join(queries.select("q", "vec"), "vec").select("query_id", "q")
+    of_query = named.join(lists, "q").where("vec_id <> query_id")
+    rank = F.row_number().over(Window.partitionBy("query_id", "q").orderBy("score", "vec_id"))
+    return of_query.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """search over the whole table of embeddings; see there for what takes no part, repeats and empty tables."""
     return search(table(spark, sf_dir, "embeddings"))

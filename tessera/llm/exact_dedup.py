@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SPACE_CLASS, only, shuffle_partitions, staged, table
+from .shared import SPACE_CLASS, only, settled, shuffle_partitions, staged, table
 
 #: Repeated fingerprints are broadcast up to this count (8 bytes each), and joined by a shuffle beyond it.
 BROADCAST_FINGERPRINTS = 1_000_000
+#: Rows of one bucket of the fingerprint space, about, and entries that are merged at once.
+BUCKET_ROWS, MERGED = 1_000_000, 4_000_000
 
 
 class CountingQuotientFilter:
@@ -61,6 +63,12 @@ class CountingQuotientFilter:
         (a, m), (b, n) = self.items(), other.items()
         return self.build(np.r_[a, b], np.r_[m, n])
 
+    @classmethod
+    def merge_all(cls, filters: list[CountingQuotientFilter]) -> CountingQuotientFilter:
+        """All at once, by their sorted quotients and remainders: each entry moves once, whatever the number of filters."""
+        items = [f.items() for f in filters]
+        return cls.build(np.concatenate([x for x, _ in items]), np.concatenate([n for _, n in items]))
+
     def to_bytes(self) -> bytes:
         bits = np.packbits(np.concatenate([self.occupied, self.runend, self.used])).tobytes()
         width = (64 - self.qbits + 7) // 8
@@ -109,60 +117,77 @@ def _filters(buckets_log2: int):
 
 
 def _merged(buckets_log2: int):
-    """Merges the filters of each bucket, met in bucket order; emits what occurs more than once."""
+    """Merges the filters of each bucket, met in bucket order; emits what occurs more than once.
+
+    Filters are merged MERGED entries at a time, the result with the next ones: a bucket's task holds its different
+    fingerprints and so many entries more.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, whole = None, None
+        now, held, entries, grown = None, [], 0, 0
 
         def repeated():
-            fp, counts = whole.items()
+            fp, counts = CountingQuotientFilter.merge_all(held).items()
             fp, counts = fp[counts > 1], counts[counts > 1]
             full = (fp >> np.uint64(buckets_log2)) | (np.uint64(now) << np.uint64(64 - buckets_log2) if buckets_log2 else np.uint64(0))
             return pa.RecordBatch.from_arrays([pa.array(full.view(np.int64)), pa.array(counts)], ["fp", "n"])
 
         for b in batches:
             for bucket, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                part = CountingQuotientFilter.from_bytes(data)
-                if bucket == now:
-                    whole = whole.merge(part)
-                    continue
-                if whole is not None:
-                    yield repeated()
-                now, whole = bucket, part
-        if whole is not None:
+                if bucket != now:
+                    if held:
+                        yield repeated()
+                    now, held, entries, grown = bucket, [], 0, 0
+                held.append(CountingQuotientFilter.from_bytes(data))
+                entries += len(held[-1].remainders)
+                if entries > max(MERGED, 2 * grown):  # amortised: a merge waits until the entries have doubled
+                    held = [CountingQuotientFilter.merge_all(held)]
+                    entries = grown = len(held[0].remainders)
+        if held:
             yield repeated()
 
     return run
 
 
-def repeated_fingerprints(fingerprints: DataFrame, buckets_log2: int = 8) -> DataFrame:
+def bucket_bits(rows: int) -> int:
+    """So many buckets, as a power of two, that each holds about BUCKET_ROWS rows, 2 to the 8th at least."""
+    return max(8, int(np.ceil(np.log2(max(rows, 1) / BUCKET_ROWS))))
+
+
+def repeated_fingerprints(fingerprints: DataFrame, buckets_log2: int | None = None) -> DataFrame:
     """(fp, n) for each 64-bit value of the one long column that occurs n > 1 times.
 
     Each input partition builds one filter per bucket of the fingerprint space; a bucket's filters meet in one task and
-    merge by sorted remainders. A value's thousand copies are one entry with a count, so hot values add nothing.
+    merge by sorted remainders. A value's thousand copies are one entry with a count, so hot values add nothing. The
+    number of buckets follows the number of rows, so that a bucket's size doesn't.
     """
     spark = fingerprints.sparkSession
-    made = fingerprints.mapInArrow(_filters(buckets_log2), "bucket int, filter binary")
-    n = min(shuffle_partitions(spark), 1 << buckets_log2)
+    bits = bucket_bits(fingerprints.count()) if buckets_log2 is None else buckets_log2
+    made = fingerprints.mapInArrow(_filters(bits), "bucket int, filter binary")
+    n = min(max(shuffle_partitions(spark), 1 << bits >> 3), 1 << bits)
     met = made.repartition(n, "bucket").sortWithinPartitions("bucket")
-    return met.mapInArrow(_merged(buckets_log2), "fp long, n long")
+    return met.mapInArrow(_merged(bits), "fp long, n long")
 
 
 def normalized(text) -> F.Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"[{SPACE_CLASS}]+", "")
 
 
-def exact_dedup(docs: DataFrame, buckets_log2: int = 8, broadcast_limit: int = BROADCAST_FINGERPRINTS, carry: tuple[str, ...] = ()) -> DataFrame:
+def exact_dedup(docs: DataFrame, buckets_log2: int | None = None, broadcast_limit: int = BROADCAST_FINGERPRINTS, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and the columns named in carry.
 
     Texts are equal when identical without white space; null counts as empty. Of equal texts the one with the most code
     points, then the smallest doc_id, stays (a null doc_id counts as larger than any). Rows that repeat a doc_id are
-    documents of their own. An empty table gives an empty result; other columns are ignored.
+    documents of their own; of several with the winning text and doc_id all are `kept`, as they can't be told apart by
+    them (carry a row id to choose one). An empty table gives an empty result; other columns are ignored.
 
     fingerprints -> counting quotient filters -> fingerprints with a count above one -> only those texts are compared
     byte by byte (grouped by the text itself, with map-side combining) -> joined back to the slim table.
     """
-    spark = docs.sparkSession
+    return settled("exact-classes", docs.sparkSession, lambda: _exact_dedup(docs, buckets_log2, broadcast_limit, carry))
+
+
+def _exact_dedup(docs: DataFrame, buckets_log2: int | None, broadcast_limit: int, carry: tuple[str, ...]) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     with_norm = only(docs, "doc_id", "text", *carry).select(*carry, "doc_id", F.length(text).alias("len"), normalized(F.col("text")).alias("norm"))
     slim = staged(with_norm.select(*carry, "doc_id", "len", F.xxhash64("norm").alias("fp"), F.unhex(F.sha2("norm", 256)).alias("sha")), "exact")
@@ -186,6 +211,7 @@ def exact_dedup(docs: DataFrame, buckets_log2: int = 8, broadcast_limit: int = B
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """exact_dedup over the whole table of documents; see there for nulls, repeats and empty tables."""
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 

@@ -59,6 +59,24 @@ def test_quotient_filter_is_lossless():
     assert (got == fp).all() and (counts == n).all()
 
 
+def test_merging_filters_moves_each_entry_a_few_times(monkeypatch):
+    """However many partitions a bucket's filters come from; the number of buckets follows the number of rows."""
+    moved = []
+    build = exact_dedup.CountingQuotientFilter.build.__func__
+    monkeypatch.setattr(exact_dedup.CountingQuotientFilter, "build", classmethod(lambda cls, fp, n=None: (moved.append(len(fp)), build(cls, fp, n))[1]))
+    monkeypatch.setattr(exact_dedup, "MERGED", 5000)
+    rng = np.random.default_rng(2)
+    for parts in (20, 200):
+        values = [rng.integers(0, 2**63, 1000, dtype=np.int64).view(np.uint64) for _ in range(parts)]
+        values[3][:5] = values[-1][:5]
+        rows_ = [exact_dedup.CountingQuotientFilter.build(v).to_bytes() for v in values]
+        moved.clear()
+        batch = exact_dedup.pa.RecordBatch.from_arrays([exact_dedup.pa.array([0] * parts, exact_dedup.pa.int32()), exact_dedup.pa.array(rows_)], ["bucket", "filter"])
+        got = next(exact_dedup._merged(0)(iter([batch])))
+        assert sorted(got.column(0).to_numpy().view(np.uint64).tolist()) == sorted(values[3][:5].tolist()) and sum(moved) <= 4 * 1000 * parts
+    assert [exact_dedup.bucket_bits(n) for n in (0, 10**6, 10**9, 10**12)] == [8, 8, 10, 20]
+
+
 @pytest.mark.parametrize("limit", [10, 0])
 def test_exact_dedup(docs, limit):
     got = {(r["doc_id"], r["text_sha256"]): r for r in collect(exact_dedup.exact_dedup(docs, broadcast_limit=limit))}
@@ -518,13 +536,38 @@ def test_search(spark):
     assert [(r["query_id"], r["rank"]) for r in sorted(few, key=lambda r: r["rank"])] == [(0, 1), (0, 2)]
 
 
+def test_equal_vectors_and_repeated_ids(spark):
+    """A vector that a third of the rows hold is kept a few times, and its queries are searched once; lists are exact."""
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(600, 4))
+    x[::3] = x[0]
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, x[1].tolist()), (301, x[1].tolist())]
+    got = {}
+    for r in sorted(collect(ann.search(spark.createDataFrame(data, "vec_id long, embedding array<double>"), every=100, parts=1)), key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    for q in (0, 100, 200, 400, 500):
+        d = sorted((float(np.sqrt(((np.array(v) - x[q]) ** 2).sum())), i) for i, v in data if i != q)[:10]
+        assert got[q] == [(i, s) for s, i in d]
+    assert len(got[300]) == 20 and all(i != 300 for i, _ in got[300])  # two rows, a list each
+
+
+def test_dealt_rows_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 100)
+    for n in (2_000, 8_000):
+        parts = n // 100
+        rows_ = spark.range(n).selectExpr("id AS vec_id", "id AS q", "CAST('x' AS BINARY) AS vec", f"array(CAST(id % {parts} AS INT), CAST((id + 1) % {parts} AS INT)) AS parts")
+        sizes = [{"p": p, "n": 100, "q": 2} for p in range(parts)]
+        left, right = ann.dealt(rows_, rows_.where("vec_id % 100 = 0"), sizes)
+        assert left.count() == n and right.count() == 2 * n // 100
+
+
 def test_blocks_of_the_search(spark, monkeypatch):
     rng = np.random.default_rng(11)
     e = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(400)], "vec_id long, embedding array<double>")
-    whole = sorted(map(str, collect(ann.search(e, every=10))))
+    whole = sorted(map(str, collect(ann.search(e, every=10, parts=16))))
     monkeypatch.setattr(ann, "BLOCK_ROWS", 20)
     monkeypatch.setattr(ann, "QUERY_ROWS", 7)
-    assert sorted(map(str, collect(ann.search(e, every=10)))) == whole
+    assert sorted(map(str, collect(ann.search(e, every=10, parts=16)))) == whole  # BLOCK_ROWS alone would choose other partitions
 
 
 # -- the pipeline
