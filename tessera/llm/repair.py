@@ -46,46 +46,66 @@ class LibraryCoder(ChunkCoder):
         return np.array([i for x in ids for i in x], np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
 
 
-def compress(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = ROUNDS, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _frequent_pairs(key: np.ndarray, last: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs, here, rank): all pairs that are frequent enough, most frequent first, where they are, and which is there."""
+    there = np.flatnonzero(~last[:-1])
+    pairs, which, hits = np.unique(key[there], return_inverse=True, return_counts=True)
+    full = np.flatnonzero(hits >= LEAST_COUNT)
+    full = full[np.argsort(-hits[full], kind="stable")[:room]]
+    chosen = np.full(len(pairs), -1, np.int64)
+    chosen[full] = np.arange(len(full))
+    rank = chosen[which]
+    return pairs[full], there[rank >= 0], rank[rank >= 0].astype(np.int32)
+
+
+def _frequent_slots(key: np.ndarray, last: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As _frequent_pairs, but counted by hash slot: a slot stands for one of the pairs that fall into it; others wait for
+    another round, with other symbols."""
+    spread = key.dtype.type(0x9E3779B1 if key.itemsize == 4 else 0x9E3779B97F4A7C15)
+    slot = ((key * spread) >> key.dtype.type(8 * key.itemsize - SLOT_BITS)).astype(np.int64)
+    slot[last[:-1]] = 1 << SLOT_BITS
+    hits = np.bincount(slot, minlength=(1 << SLOT_BITS) + 1)[:-1]
+    full = np.flatnonzero(hits >= LEAST_COUNT)
+    full = full[np.argsort(-hits[full], kind="stable")[:room]]
+    chosen = np.full((1 << SLOT_BITS) + 1, -1, np.int32)
+    chosen[full] = np.arange(len(full))
+    rank = chosen[slot]
+    here = np.flatnonzero(rank >= 0)
+    rank = rank[here]
+    pairs = np.zeros(len(full), key.dtype)
+    pairs[rank[::-1]] = key[here[::-1]]
+    true = pairs[rank] == key[here]
+    return pairs, here[true], rank[true]
+
+
+def compress(ids: np.ndarray, last: np.ndarray, base: int, rounds: int | None = ROUNDS, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair in rounds: (sequence, last, rules). last marks the end of each document; pairs don't cross it.
 
     Each round counts all adjacent pairs (by hash slot), takes the most frequent ones and replaces each by a nonterminal, base + its
-    rule's number, where no overlapping pair is more frequent. It ends when no pair is frequent enough, after `rounds`,
-    or when the symbols would exceed `most`.
+    rule's number, where no overlapping pair is more frequent. It ends after `rounds`, or when the symbols would exceed
+    `most`. With rounds None pairs are counted exactly and replaced until none occurs LEAST_COUNT times.
     """
     narrow = most <= 1 << 16  # pairs of 16-bit symbols fit 32 bits
     seq, last = ids.astype(np.uint32 if narrow else np.uint64), last.copy()
     shift = seq.dtype.type(16 if narrow else 32)
-    spread = seq.dtype.type(0x9E3779B1 if narrow else 0x9E3779B97F4A7C15)
-    drop = seq.dtype.type(8 * seq.itemsize - SLOT_BITS)
     rules: list[np.ndarray] = []
     n_rules = 0
-    for _ in range(rounds):
-        room = min(ROUND_RULES, most - base - n_rules)
+    while rounds is None or rounds > 0:
+        rounds = None if rounds is None else rounds - 1
+        room = most - base - n_rules if rounds is None else min(ROUND_RULES, most - base - n_rules)
         if room <= 0 or len(seq) < 2:
             break
         key = seq[:-1] << shift | seq[1:]
-        slot = ((key * spread) >> drop).astype(np.int64)
-        slot[last[:-1]] = 1 << SLOT_BITS
-        hits = np.bincount(slot, minlength=(1 << SLOT_BITS) + 1)[:-1]
-        full = np.flatnonzero(hits >= LEAST_COUNT)
+        full, here, rank = (_frequent_pairs if rounds is None else _frequent_slots)(key, last, room)
         if not len(full):
             break
-        # A slot stands for one of the pairs that fall into it; others wait for another round, with other symbols.
-        full = full[np.argsort(-hits[full], kind="stable")[:room]]
-        chosen = np.full((1 << SLOT_BITS) + 1, -1, np.int32)
-        chosen[full] = np.arange(len(full))
-        rank = chosen[slot]
-        here = np.flatnonzero(rank >= 0)
-        rank = rank[here]
-        pairs = np.zeros(len(full), seq.dtype)
-        pairs[rank[::-1]] = key[here[::-1]]
-        true = pairs[rank] == key[here]
-        here, rank = here[true], rank[true]
+        pairs = full
         prio = np.full(len(seq) + 1, len(full) + 1, np.int32)
         prio[here] = rank
         before = np.where(here > 0, prio[here - 1], len(full) + 1)
-        here = here[(rank < before) & (rank <= prio[here + 1])]
+        place = np.arange(len(here))  # in a stretch of one symbol, where a pair overlaps itself, every other one goes
+        odd = (place - np.maximum.accumulate(np.where(rank == before, 0, place))) & 1
+        here = here[((rank < before) | (rank == before) & (odd == 0)) & (rank <= prio[here + 1])]
         used = np.bincount(prio[here], minlength=len(pairs))
         worth = used >= 2
         number = np.cumsum(worth) - 1
@@ -111,9 +131,11 @@ def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     return out
 
 
-def pack(doc_ids: list[int | None], docs: list[np.ndarray], base: int) -> bytes:
+def pack(doc_ids: list[int | None], docs: list[np.ndarray], base: int, rounds: int | None = ROUNDS) -> bytes:
     """A block of the file format: header, rules, their expansion lengths, the documents' directory, the sequence.
 
+    rounds as in compress; with None symbols take 32 bits where 16 don't do.
+
     Little-endian. Header: magic, symbol width in bytes, base, documents, ids, rules, symbols. Directory, by column:
     null flag, doc_id, ids, symbols of each document.
     """
@@ -121,7 +143,7 @@ def pack(doc_ids: list[int | None], docs: list[np.ndarray], base: int) -> bytes:
     flat = np.concatenate(docs) if docs else np.zeros(0, np.int32)
     last = np.zeros(len(flat), bool)
     last[np.cumsum(sizes) - 1] = True
-    seq, last, rules = compress(flat, last, base, most=1 << 16 if base < 1 << 16 else 1 << 31)
+    seq, last, rules = compress(flat, last, base, rounds, most=1 << 16 if base < 1 << 16 and rounds is not None else 1 << 31)
     ends = np.flatnonzero(last) + 1
     symbols = np.diff(np.r_[0, ends])
     width = 2 if base + len(rules) <= 1 << 16 else 4
@@ -276,4 +298,8 @@ def read_digests(blocks: DataFrame) -> DataFrame:
 
 
 def op1_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """write_ids and read_digests over the whole table of documents.
+
+    Rows that repeat a doc_id are documents of their own, in the order of their texts.
+    """
     return read_digests(write_ids(table(spark, sf_dir, "documents")))

@@ -297,6 +297,20 @@ def test_repair_round_trip_and_random_access():
         assert all((a == b).all() for a, b in zip(block.documents(), docs))
 
 
+def test_exact_repair_leaves_no_frequent_pair():
+    rng = np.random.default_rng(14)
+    passage = rng.integers(0, 40_000, 300)
+    docs = [np.r_[rng.integers(0, 60, 50), passage, rng.integers(0, 40_000, 20), 2].astype(np.int32) for _ in range(60)] + [np.full(501, 7, np.int32)]
+    whole, some = repair.pack(list(range(61)), docs, 49408, rounds=None), repair.pack(list(range(61)), docs, 49408)
+    block = repair.Block(whole)
+    assert all((a == b).all() for a, b in zip(block.documents(), docs)) and len(whole) < len(some)
+    counts = {}
+    for a, b in zip(block.begin[:-1], block.begin[1:]):
+        for pair in zip(block.seq[a : b - 1].tolist(), block.seq[a + 1 : b].tolist()):
+            counts[pair] = counts.get(pair, 0) + 1
+    assert max(counts.values()) < repair.LEAST_COUNT and block.lengths.max() >= 300
+
+
 def test_written_ids(docs, library, monkeypatch):
     monkeypatch.setattr(repair, "BLOCK_IDS", 500)
     got = sorted(collect(repair.read_digests(repair.write_ids(docs, partitions=3))), key=lambda r: r["start"])
