@@ -12,6 +12,7 @@ from ..operators.relation import TERMS, Binding, Relation
 from ..plans import parser as P
 from ..terms import LANG_STRING, RDF, RDF_TYPE, STRING, Blank, Iri, Lit, Term, Var
 from .base import Source, Star, Wanted
+from .rdfsyntax import json_ld, parse_files, rdf_xml
 
 SCHEMA = "s string, p string, k string, lex string, dt string, lang string"
 
@@ -181,13 +182,26 @@ def read_text(spark: SparkSession, path: str) -> str:
     return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
 
 
-def rdf_file(spark: SparkSession, paths, name: str = "rdf") -> TripleSource:
-    """N-Triples files (read in parallel) and Turtle files (on the driver), as one graph."""
+def _turtle_rows(text: str, base: str, scope: str) -> list[tuple]:
+    return rows_of(TurtleReader(text, base, scope).triples())
+
+
+#: Parsers of whole documents by file name; all other files are N-Triples or N-Quads.
+DOCUMENTS = {(".ttl", ".turtle", ".n3"): _turtle_rows, (".rdf", ".owl", ".xml"): rdf_xml, (".jsonld", ".json"): json_ld}
+
+
+def rdf_file(spark: SparkSession, paths, name: str = "rdf", malformed: str = "raise") -> TripleSource:
+    """RDF files as one graph, compressed (.gz) or not: lines of N-Triples and N-Quads are split over tasks; Turtle, RDF/XML and
+    JSON-LD documents are read by one task each."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    turtle = [p for p in paths if p.endswith((".ttl", ".turtle"))]
-    lines = [p for p in paths if p not in turtle]
-    parts = [read_ntriples(spark, lines)] if lines else []
-    parts += [from_turtle(spark, read_text(spark, p), f"{name}{i}").df for i, p in enumerate(turtle)]
+    kinds = {p: next((k for k in DOCUMENTS if p.removesuffix(".gz").endswith(k)), None) for p in paths}
+    lines = [p for p in paths if kinds[p] is None]
+    parts = [read_ntriples(spark, lines, malformed)] if lines else []
+    for kind, parse in DOCUMENTS.items():
+        own = [p for p in paths if kinds[p] == kind]
+        if own:
+            files = spark.read.format("binaryFile").load(own).select("path", "content", F.hex(F.xxhash64("path")).alias("file"))
+            parts.append(files.mapInPandas(parse_files(parse, "-"), SCHEMA))
     return TripleSource(reduce(lambda a, b: a.unionByName(b), parts).distinct(), name)
 
 
@@ -196,6 +210,10 @@ def parquet_store(spark: SparkSession, path: str, name: str = "store") -> Triple
     return TripleSource(spark.read.parquet(path).select(*[c.split()[0] for c in SCHEMA.split(", ")]), name)
 
 
-def save(source: TripleSource, path: str) -> None:
-    """Writes the triples as Parquet, one folder per predicate, so that patterns read only theirs."""
-    source.df.repartition("p").write.partitionBy("p").parquet(path)
+def save(source: TripleSource, path: str, salts: int = 16) -> None:
+    """Writes the triples as Parquet, one folder per predicate, so that patterns read only theirs.
+
+    A predicate's triples are dealt over `salts` tasks by their subject: a frequent one isn't one task.
+    """
+    dealt = source.df.repartition(F.col("p"), F.pmod(F.xxhash64("s"), F.lit(salts)))
+    dealt.write.partitionBy("p").parquet(path)

@@ -1,5 +1,6 @@
 """Semantics of the engine on small graphs, with rows worked out by hand."""
 
+import gzip
 import json
 
 import pytest
@@ -199,6 +200,31 @@ def test_ntriples_and_parquet_store(spark, tmp_path):
     assert Federation(spark).add_source(again).query(EX + "SELECT ?x WHERE { ?x :p :o }").count() == 1
 
 
+def test_rdf_xml_and_json_ld(spark, tmp_path):
+    (tmp_path / "a.rdf").write_text("""<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://e.x/" xml:base="http://b.x/d" xml:lang="en">
+      <Person rdf:about="ann" nick="A"><name>Ann 😀</name><age rdf:datatype="http://www.w3.org/2001/XMLSchema#int">3</age><knows><Person rdf:about="http://e.x/bob"/></knows>
+        <home rdf:parseType="Resource"><city xml:lang="">Rio</city></home><list rdf:parseType="Collection"><rdf:Description rdf:about="#x"/></list><see rdf:resource="#y"/></Person></rdf:RDF>""")
+    with gzip.open(tmp_path / "b.jsonld.gz", "wt") as f:
+        json.dump({"@context": {"@vocab": "http://e.x/", "x": "http://x.x/", "knows": {"@type": "@id"}, "tags": {"@container": "@list"}, "label": {"@container": "@language"}, "x:d": {"@type": "x:T"}},
+                   "@graph": [{"@id": "x:cat", "@type": "Cat", "age": 4.5, "n": 7, "ok": True, "knows": ["x:ann", "_:b"], "tags": ["a", "b"], "label": {"en": "Tom"}, "x:d": "v", "part": {"name": "tail"}}]}, f)
+    (tmp_path / "c.nq").write_text('<http://e.x/s> <http://e.x/p> "q \\" . # x" <http://g.x/> . # "note" .\n_:a <http://e.x/p> _:a _:g .\n')
+    source = rdf_file(spark, [str(tmp_path / n) for n in ("a.rdf", "b.jsonld.gz", "c.nq")])
+    rows = {(r.s if not r.s.startswith("_:") else "_", r.p.split("/")[-1].split("#")[-1], r.k, r.lex if r.k != "B" else "_", r.lang) for r in source.df.collect()}
+    ann, cat, rdf = "http://b.x/ann", "http://x.x/cat", "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+    assert rows == {
+        (ann, "type", "I", "http://e.x/Person", None), (ann, "nick", "L", "A", "en"), (ann, "name", "L", "Ann 😀", "en"), (ann, "age", "L", "3", None), (ann, "knows", "I", "http://e.x/bob", None),
+        ("http://e.x/bob", "type", "I", "http://e.x/Person", None), (ann, "home", "B", "_", None), ("_", "city", "L", "Rio", None), (ann, "list", "B", "_", None), ("_", "first", "I", "http://b.x/d#x", None),
+        ("_", "rest", "I", rdf + "nil", None), (ann, "see", "I", "http://b.x/d#y", None),
+        (cat, "type", "I", "http://e.x/Cat", None), (cat, "age", "L", "4.5E0", None), (cat, "n", "L", "7", None), (cat, "ok", "L", "true", None), (cat, "knows", "I", "http://x.x/ann", None), (cat, "knows", "B", "_", None),
+        (cat, "tags", "B", "_", None), ("_", "first", "L", "a", None), ("_", "first", "L", "b", None), ("_", "rest", "B", "_", None), (cat, "label", "L", "Tom", "en"), (cat, "d", "L", "v", None), (cat, "part", "B", "_", None), ("_", "name", "L", "tail", None),
+        ("http://e.x/s", "p", "L", 'q " . # x', None), ("_", "p", "B", "_", None),
+    }
+    (tmp_path / "bad.nt").write_text("<a:b> <a:c> .\n# only a comment\n\n<a:b> <a:c> <a:d> .\n")
+    assert rdf_file(spark, str(tmp_path / "bad.nt"), malformed="skip").df.count() == 1
+    with pytest.raises(Exception, match="not a triple"):
+        rdf_file(spark, str(tmp_path / "bad.nt")).df.count()
+
+
 def test_turtle_reader():
     triples = TurtleReader('@base <http://b/> . @prefix : <http://e.x/> . <a> :p (1 [ :q "x" ]) ; a :C . :s :p """long\n"text\\"""" .').triples()
     assert len(triples) == 8 and triples[-1][2].lex.startswith("long\n")
