@@ -358,6 +358,28 @@ def test_automaton_accepts_one_edit():
     assert got == {"idiot": ("idiot", 0), "scum": ("scum", 0), **{w: ("idiot", 1) for w in ("idot", "idioot", "iddot", "idito", "ldiot", "idiots")}}
 
 
+def edits(a, b):
+    """Insertions, deletions, substitutions and transpositions of neighbours."""
+    d = {(-1, -1): 0, **{(i, -1): i + 1 for i in range(len(a))}, **{(-1, j): j + 1 for j in range(len(b))}}
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (x != y))
+            if i and j and x == b[j - 1] and a[i - 1] == y:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a) - 1, len(b) - 1]
+
+
+def test_automaton_is_what_brute_force_finds():
+    rng = np.random.default_rng(15)
+    word = lambda: "".join(rng.choice(list("abcd"), rng.integers(1, 9)))
+    terms = sorted({word() for _ in range(60)})
+    words = [*terms, *{word() for _ in range(3000)}]
+    got = {w: (t, d) for w, t, d in toxicity.LexiconAutomaton(dict.fromkeys(terms, 1.0)).match(words)}
+    for w in words:
+        near = [(d, k) for k, t in enumerate(terms) if (d := edits(w, t)) <= (len(t) >= toxicity.FUZZY_LETTERS)]
+        assert got.get(w) == ((min(near)[1], min(near)[0]) if near else None), w
+
+
 def test_quotation_is_told_from_abuse():
     s = toxicity.Scorer(toxicity.LexiconAutomaton({"idiot": 2.0}))
     abuse, quote, miss, clean = (s.features(t) for t in ("you are an idiot !", 'the article quoted the word "idiot" as reported', "you are an idiott", "fine"))
@@ -603,6 +625,47 @@ def test_pipeline(spark):
     assert out.count() > 0 and "ids_sha256" in out.columns
 
 
+def test_pipeline_stages_on_empty_tables_and_texts(spark):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row long, score double"
+    for data in ([], [(1, None, "en", None, 0, 7, 0.5), (2, "", "en", "s", 0, 7, 0.5), (None, " ", None, "s", 1, 7, 0.5)]):
+        docs = spark.createDataFrame(data, schema)  # with columns whose names the stages use themselves
+        left = []
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, DATA)
+            assert out.columns == corpus_pipeline.COLUMNS
+            left.append(sorted(map(str, (r.doc_id for r in out.collect()))))
+        assert left == ([[], [], [], []] if not data else [["1", "2", "None"], ["None"], ["1"], []])
+        assert corpus_pipeline.encode(spark, docs, DATA).count() == len(data)
+
+
+def test_near_dedup_stage_keeps_what_brute_force_does(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(16)
+    texts = []
+    for k in range(25):
+        t = list(rng.choice([f"t{i}" for i in range(400)], 60))
+        texts.append(" ".join(t))
+        for _ in range(3):
+            near = list(t)
+            at = int(rng.integers(0, 40))
+            near[at : at + int(rng.integers(1, 9))] = ["changed"]
+            texts.append(" ".join(near))
+    order = rng.permutation(len(texts)).tolist()
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i in range(len(texts)):
+            for j in range(len(texts)):
+                if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+    docs = spark.createDataFrame([(order[i], t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, DATA).collect())
+    assert got == sorted(min(order[i] for i in range(len(texts)) if root[i] == r) for r in set(root))
+
+
 def test_pipeline_tells_rows_apart(spark):
     import corpus_pipeline
 
