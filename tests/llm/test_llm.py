@@ -232,6 +232,19 @@ def test_remove_repeats(spark, monkeypatch, split, index_bytes):
     assert [(got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) for i in range(len(texts))] == expected
 
 
+def test_remove_repeats_where_an_anchor_is_split(spark):
+    """Over ANCHOR_SNIPPETS different surroundings of one passage, as shipped; and passages around 400 bytes in a few texts."""
+    rng = np.random.default_rng(17)
+    text = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    hot, near = text(420), [text(n) for n in (399, 400, 401, 900)]
+    texts = [text(60) + hot + text(int(rng.integers(30, 90))) for _ in range(substring_dedup.ANCHOR_SNIPPETS + 300)]
+    texts += [text(50) + p + text(50) for p in near for _ in range(3)]
+    got = {r["doc_id"]: r for r in collect(substring_dedup.remove_repeats(table(spark, texts)))}
+    expected = brute_repeats([t.encode() for t in texts], 400)
+    assert [(got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) for i in range(len(texts))] == expected
+    assert sum(e[1] > 0 for e in expected) == len(texts) - 3
+
+
 def test_anchors_of_long_texts_are_cut_alike(monkeypatch):
     rng = np.random.default_rng(6)
     data = rng.integers(97, 101, 6000).astype(np.uint8)
