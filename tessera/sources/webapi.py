@@ -37,9 +37,19 @@ def expand_uri(template: str, values: dict[str, str | None]) -> str:
 
 
 def member(item: dict, path: str):
-    """A member by its path (`a.b`); null where an object on the way is missing."""
+    """A member by its path (`a.b`); null where an object on the way is missing.
+
+    Of HAL documents, what `_embedded` holds counts as the object's own, and a link is its address.
+    """
     for key in path.split("."):
-        item = item.get(key) if isinstance(item, dict) else None
+        if not isinstance(item, dict):
+            return None
+        if key not in item and isinstance(item.get("_embedded"), dict) and key in item["_embedded"]:
+            item = item["_embedded"]
+        elif key not in item and isinstance(item.get("_links"), dict) and key in item["_links"]:
+            link = item["_links"][key]
+            item = {key: link.get("href") if isinstance(link, dict) else link}
+        item = item.get(key)
     return item
 
 
@@ -89,15 +99,18 @@ class WebApiSource(Source):
             last = 0.0
             for b in batches:
                 for row in b.to_dict("records"):
-                    page, out = api.first_page, []
+                    page, out, before = api.first_page, [], None
                     while True:
                         time.sleep(max(0.0, last + api.interval - time.monotonic()))
                         last = time.monotonic()
                         sent = {n: api.serializers[n](v) if n in api.serializers else v for n, v in row.items()}
                         data = json.loads(api.get(expand_uri(api.template, sent | ({api.page: page} if api.page else {}))))
                         for key in api.items:
-                            data = data.get(key) or []
+                            data = member(data, key) or []
                         items = data if isinstance(data, list) else [data]
+                        if api.page and items and items == before:
+                            raise ValueError(f"{api.template} answers every page alike: does it know {api.page}?")
+                        before = items
                         out += [{**{c: member(i, c) for c in api.columns}, **{n: row[n] for n in names}} for i in items]
                         if not api.page or not items:
                             break

@@ -18,7 +18,7 @@ from tessera.sources.files import turtle_cell
 from tessera.sources.r2rml import R2rml, template_parts
 from tessera.sources.table import from_context
 from tessera.sources.triples import TurtleReader, from_turtle, parquet_store, rdf_file, save
-from tessera.sources.webapi import Api, WebApiSource, expand_uri
+from tessera.sources.webapi import Api, WebApiSource, expand_uri, member
 
 EX = "PREFIX : <http://e.x/> PREFIX xsd: <http://www.w3.org/2001/XMLSchema#> "
 PEOPLE = """@prefix : <http://e.x/> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> .
@@ -388,3 +388,16 @@ def test_stream(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("stars").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [r.s for r in spark.sql("SELECT s FROM stars").collect()] == ["http://e.x/2"]
+
+
+def test_web_api_members_and_pages(spark):
+    item = {"id": 1, "_embedded": {"author": {"name": "Ann"}}, "_links": {"self": {"href": "http://a/1"}}}
+    assert member(item, "author.name") == "Ann" and member(item, "self") == "http://a/1" and member(item, "author.none.x") is None and member(item, "none") is None
+    api = Api("http://api.test/x{?key,page}", {"http://e.x/key": "key"}, {"id": "long"}, items=["things"], page="page", get=_same_page)
+    source = WebApiSource(spark, api, {"@context": {"@uriProperty": "id", "key": "http://e.x/key"}, "@instancePrefix": "http://e.x/i/", "@fallbackPrefix": "http://e.x/"}, "x")
+    with pytest.raises(Exception, match="every page alike"):
+        source.rows(spark.createDataFrame([("k",)], "key string")).count()
+
+
+def _same_page(url):
+    return json.dumps({"_embedded": {"things": [{"id": 1}]}})
