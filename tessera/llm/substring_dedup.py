@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import only, shuffle_partitions, staged, table
+from .shared import only, settled, shuffle_partitions, staged, table
 
 #: Bytes of a string that counts as repeated, and of the substrings whose hashes choose its anchor.
 LENGTH, GRAM = 400, 64
@@ -23,8 +23,8 @@ INDEX_BYTES = 1 << 21
 ANCHOR_SNIPPETS = 2048
 #: Window starts of a split anchor that are compared across its indexes at once.
 CELL = 32
-#: Rows, and intervals in them, that are broadcast to the texts at most; beyond, texts are shuffled.
-BROADCAST_ROWS, BROADCAST_INTERVALS = 2_000_000, 4_000_000
+#: Rows, and intervals in them, that are broadcast to the texts at most (some 100 MB); beyond, texts are shuffled.
+BROADCAST_ROWS, BROADCAST_INTERVALS = 600_000, 1_200_000
 
 _TABLE = np.array([xxhash.xxh64_intdigest(bytes([i]), 9) for i in range(256)], np.uint64)
 _STEP = 0x9E3779B97F4A7C15
@@ -290,6 +290,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
        is compared across them: first by the bytes that CELL neighbouring windows share, then window by window where
        those occur again, each time with sums.
     """
+    return settled("substring-kept", docs.sparkSession, lambda: _remove_repeats(docs, length, gram))
+
+
+def _remove_repeats(docs: DataFrame, length: int, gram: int) -> DataFrame:
     spark = docs.sparkSession
     base = staged(only(docs, "doc_id", "text").mapInArrow(_surveyed(length, gram), DOC_SCHEMA).withColumn("rid", F.monotonically_increasing_id()), "substring")
     every = base.select("rid", F.inline(F.arrays_zip("lo", "hi", "place", "fp", "sh", "n")))
@@ -322,4 +326,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """remove_repeats over the whole table of documents; see there for nulls, repeats and short texts."""
     return remove_repeats(table(spark, sf_dir, "documents"))
