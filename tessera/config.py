@@ -34,7 +34,9 @@ LOADERS = {
     "table": lambda s, e, b, n: [from_context(s.table(e["table"]) if "table" in e else s.read.parquet(*_paths(e, b)), _context(s, e, b), n, e.get("links"), e.get("unique", True))],
     "csv": lambda s, e, b, n: [csv_source(s, _paths(e, b)[0], _context(s, e, b), n, e.get("separator"), turtle_cells=e.get("turtle-cells", False), links=e.get("links"))],
     "json": lambda s, e, b, n: [json_source(s, _paths(e, b)[0], _context(s, e, b), n, e.get("lines", True), e.get("links"))],
-    "jdbc": lambda s, e, b, n: [jdbc_source(s, e["jdbc"], e["table"], _context(s, e, b), n, e.get("links"))],
+    "jdbc": lambda s, e, b, n: [jdbc_source(s, e["jdbc"], e["table"], _context(s, e, b), n, e.get("links"), e.get("partition-column"), e.get("partitions", 16))],
+    # Any source that Spark has a reader for, by its format's name (a Cassandra connector's, for one).
+    "spark": lambda s, e, b, n: [from_context(s.read.format(e["format"]).options(**e.get("options", {})).load(*_paths(e, b)), _context(s, e, b), n, e.get("links"), e.get("unique", True))],
     "sparql": lambda s, e, b, n: [SparqlSource(s, next(e[k] for k in FILE_KEYS if k in e), n, e.get("describe", "ask"), e.get("bind", True), e.get("batch", BATCH))],
     "r2rml": lambda s, e, b, n: R2rml(s, read_text(s, _paths(e, b)[0]), s.table, e.get("base", "http://example.org/base/"), e.get("strict", True)).sources(),
 }

@@ -43,6 +43,7 @@ class Compiler:
     def __init__(self, spark, sources: list[Source], tbox=None, dedup_sources: bool = False):
         self.spark, self.sources, self.tbox, self.dedup = spark, sources, tbox, dedup_sources
         self.needed: set[str] = set()
+        self.filters: list = []  # the conditions that hold for what is being compiled, for sources that can use them
         self.log: list[str] = []
 
     # -- queries
@@ -117,7 +118,11 @@ class Compiler:
         return getattr(self, f"_{type(n).__name__.lower()}")(n)
 
     def _query(self, n: A.Query) -> Relation:
-        return self.select(n)
+        held, self.filters = self.filters, []
+        try:
+            return self.select(n)
+        finally:
+            self.filters = held
 
     def _join(self, n: A.Join) -> Relation:
         if not n.parts:
@@ -143,17 +148,29 @@ class Compiler:
         return R.union([self.node(p) for p in n.parts])
 
     def _minus(self, n: A.Minus) -> Relation:
-        return R.semi_join(self.node(n.left), self.node(n.right), True, True)
+        return R.semi_join(self.node(n.left), self._apart(n.right), True, True)
+
+    def _apart(self, part: A.Node) -> Relation:
+        """A part that the filters around it don't restrict."""
+        held, self.filters = self.filters, []
+        try:
+            return self.node(part)
+        finally:
+            self.filters = held
 
     def _filter(self, n: A.Filter) -> Relation:
-        r = self.node(n.part)
+        held, self.filters = self.filters, [*self.filters, *n.conditions]
+        try:
+            r = self.node(n.part)
+        finally:
+            self.filters = held
         for e in n.conditions:
             r = self.where(r, e)
         return r
 
     def where(self, r: Relation, e) -> Relation:
         if isinstance(e, A.Exists):
-            return R.semi_join(r, self.node(e.pattern), e.negated, False)
+            return R.semi_join(r, self._apart(e.pattern), e.negated, False)
         return Relation(r.df.where(E.condition(e, self.names(r))), r.vars)
 
     def _extend(self, n: A.Extend) -> Relation:

@@ -12,7 +12,7 @@ from . import results, testendpoint
 from .federation import Federation
 from .reasoning import TBox
 from .runtime import scratch
-from .sources.files import csv_source, json_source
+from .sources.files import csv_source, jdbc_source, json_source
 from .sources.r2rml import R2rml
 from .sources.remote import SparqlSource
 from .sources.triples import SCHEMA, TripleSource, TurtleReader, rdf_file, rows_of
@@ -242,6 +242,17 @@ def json_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fed.query(PREFIXES + "SELECT ?n ?b WHERE { ?x :s_name ?n ; :s_acctbal ?b FILTER(?b > 1000) }")
 
 
+@registered("jdbc_table", "SELECT s_name AS n, r_name AS rn FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_acctbal > 1000")
+def jdbc_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers from a database in this process's memory that is filled first, read over four connections."""
+    ctx, links = context("supplier")
+    url = f"jdbc:derby:memory:t{uuid.uuid4().hex};create=true"
+    types = {"url": url, "dbtable": "supplier", "createTableColumnTypes": "s_name VARCHAR(60)"}
+    spark.read.parquet(f"{sf_dir}/supplier.parquet").coalesce(1).write.format("jdbc").options(**types).save()
+    fed = federation(spark, sf_dir, ["nation", "region"]).add_source(jdbc_source(spark, url, "supplier", ctx, "supplier", links, "s_suppkey", 4))
+    return fed.query(PREFIXES + "SELECT ?n ?rn WHERE { ?s :s_name ?n ; :s_acctbal ?b ; :s_nationkey ?x . ?x :n_regionkey/:r_name ?rn FILTER(?b > 1000) }")
+
+
 @registered("ntriples_file", "SELECT n_name AS n, r_name AS rn FROM nation JOIN region ON n_regionkey = r_regionkey")
 def ntriples_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations and regions as an N-Triples file, gzip-compressed, that is written first."""

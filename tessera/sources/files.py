@@ -58,6 +58,15 @@ def json_source(spark: SparkSession, path: str, context: dict, name: str, lines:
     return from_context(df, context, name, links, unique=False)
 
 
-def jdbc_source(spark: SparkSession, url: str, table: str, context: dict, name: str, links: dict | None = None, **options) -> TableSource:
-    """A table behind JDBC: Spark pushes filters, columns and limits down."""
-    return from_context(spark.read.format("jdbc").options(url=url, dbtable=table, **options).load(), context, name, links)
+def jdbc_source(spark: SparkSession, url: str, table: str, context: dict, name: str, links: dict | None = None, partition_column: str | None = None, partitions: int = 16, **options) -> TableSource:
+    """A table behind JDBC: Spark pushes filters, columns and limits down.
+
+    partition_column: a number, date or timestamp whose range, asked for first, is split over so many connections.
+    """
+    read = lambda **o: spark.read.format("jdbc").options(url=url, **options, **o).load()
+    if partition_column:
+        quoted = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(partition_column)
+        low, high = read(query=f"SELECT MIN({quoted}) AS lo, MAX({quoted}) AS hi FROM {table}").first()
+        if low is not None:
+            return from_context(read(dbtable=table, partitionColumn=partition_column, lowerBound=str(low), upperBound=str(high), numPartitions=str(partitions)), context, name, links)
+    return from_context(read(dbtable=table), context, name, links)

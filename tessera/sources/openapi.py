@@ -53,6 +53,14 @@ def columns(schema: dict, root: dict, prefix: str = "", depth: int = 6) -> dict[
     return out
 
 
+def comparison(text: str) -> str:
+    """The operator of a parameter's filter over a member, `$actual >= $input` or the other way round."""
+    m = re.fullmatch(r"\s*(?:FILTER)?\s*\(?\s*[$?](actual|input)\s*(<=|>=|<|>|=)\s*[$?](actual|input)\s*\)?\s*", text)
+    if not m or m[1] == m[3]:
+        raise ValueError(f"not a comparison of $actual with $input: {text!r}")
+    return m[2] if m[1] == "actual" else {"<": ">", ">": "<", "<=": ">=", ">=": "<=", "=": "="}[m[2]]
+
+
 def operation(spec: dict, path: str, vocabulary: str, get: Callable[[str], str] = fetch, interval: float = 0.0) -> Api:
     """The GET operation of a path. Members and inputs are named in the vocabulary by their path (`a.b`)."""
     get_op = resolved(spec["paths"][path], spec)["get"]
@@ -60,20 +68,25 @@ def operation(spec: dict, path: str, vocabulary: str, get: Callable[[str], str]
     params = [resolved(p, spec) for p in get_op.get("parameters", [])]
     names = [p["name"] for p in params]
     page = paging["param"] if paging and paging["param"] in names else None
-    inputs, writers = {}, {}
+    inputs, writers, filters, needed = {}, {}, {}, set()
     for p in params:
-        if "x-path" in p and "filter" not in p["x-path"]:
-            inputs[vocabulary + ".".join(p["x-path"]["path"])] = p["name"]
+        if "x-path" in p:
+            predicate = vocabulary + ".".join(p["x-path"]["path"])
+            if "filter" in p["x-path"]:
+                filters[p["name"]] = (predicate, comparison(p["x-path"]["filter"]))
+                needed |= {p["name"]} if p.get("required") else set()
+            else:
+                inputs[predicate] = p["name"]
             if "x-serializer" in p:
                 writers[p["name"]] = serializer(resolved(p["x-serializer"], spec))
         elif p.get("required") and p["name"] != page:
             raise ValueError(f"{path}: the required parameter {p['name']} has no x-path")
-    query = [n for n in names if f"{{{n}}}" not in path and (n in inputs.values() or n == page)]
+    query = [n for n in names if f"{{{n}}}" not in path and (n in inputs.values() or n in filters or n == page)]
     base = f"{(spec.get('schemes') or ['http'])[0]}://{spec['host']}{spec.get('basePath', '').rstrip('/')}"
     schema = resolved(next(r for c, r in get_op["responses"].items() if str(c).startswith("2")).get("schema", {}), spec)
     if schema.get("type") == "array":
         schema = schema["items"]
-    return Api(base + path + (f"{{?{','.join(query)}}}" if query else ""), inputs, columns(schema, spec), page=page, first_page=int((paging or {}).get("start", 1)), page_step=int((paging or {}).get("increment", 1)), interval=interval, get=get, serializers=writers)
+    return Api(base + path + (f"{{?{','.join(query)}}}" if query else ""), inputs, columns(schema, spec), page=page, first_page=int((paging or {}).get("start", 1)), page_step=int((paging or {}).get("increment", 1)), interval=interval, get=get, serializers=writers, filters=filters, needed=frozenset(needed))
 
 
 def api_source(spark: SparkSession, spec: dict, path: str, vocabulary: str, name: str, types: list[str] = (), get: Callable[[str], str] = fetch) -> WebApiSource:

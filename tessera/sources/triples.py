@@ -17,6 +17,15 @@ from .rdfsyntax import json_ld, parse_files, rdf_xml
 SCHEMA = "s string, p string, k string, lex string, dt string, lang string"
 
 
+#: Alternatives of a predicate or class that are listed in a filter; more are a broadcast semi-join.
+MOST_ALTERNATIVES = 200
+
+
+def _among(df: DataFrame, column: str, values) -> DataFrame:
+    listed = df.sparkSession.createDataFrame([(v,) for v in sorted(values)], f"{column} string")
+    return df.join(F.broadcast(listed), column, "left_semi")  # as long as the hierarchy that the driver holds
+
+
 class TripleSource(Source):
     """Any triples. The sets of predicates and classes are learned by `index`, else every pattern may match."""
 
@@ -41,15 +50,21 @@ class TripleSource(Source):
         return reduce(R.join, [self._pattern(w) for w in wanted])
 
     def _pattern(self, w: Wanted) -> Relation:
-        star = Star()
+        star, held = Star(), self.df
         object_ = F.struct("k", "lex", "dt", "lang")
         star.bind(w.s, F.col("s"), Binding("iri"), certain=True)
         if w.predicates is None:
             star.bind(w.p, F.col("p"), Binding("iri"), certain=True)
+        elif len(w.predicates) > MOST_ALTERNATIVES:
+            held = _among(held, "p", w.predicates)
         else:
             star.where.append(F.col("p").isin(*sorted(w.predicates)))
         if w.is_type and w.classes is not None:
-            star.where.append((F.col("k") == "I") & F.col("lex").isin(*sorted(w.classes)))
+            star.where.append(F.col("k") == "I")
+            if len(w.classes) > MOST_ALTERNATIVES:
+                held = _among(held, "lex", w.classes)
+            else:
+                star.where.append(F.col("lex").isin(*sorted(w.classes)))
         elif isinstance(w.o, Var):
             star.bind(w.o, object_, TERMS, certain=True)
         else:
@@ -57,7 +72,7 @@ class TripleSource(Source):
             star.where += [F.col("k") == kind, F.col("lex") == t]
             if isinstance(w.o, Lit):
                 star.where += [F.col("dt") == w.o.dt, F.col("lang").eqNullSafe(F.lit(w.o.lang).cast("string"))]
-        df = self.df.where(reduce(lambda a, b: a & b, star.where)) if star.where else self.df
+        df = held.where(reduce(lambda a, b: a & b, star.where)) if star.where else held
         return Relation(df.select(*[c.alias(v) for v, (c, _) in star.names.items()]), {v: b for v, (_, b) in star.names.items()})
 
 

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.expressions import str_of
 from ..operators import relation as R
 from ..operators.relation import Binding, Relation
-from ..terms import STRING, Iri, Var
+from ..plans.algebra import Expr
+from ..terms import STRING, Iri, Lit, Var
 from .base import Source, Wanted
 from .table import TableSource, from_context
 
@@ -62,7 +63,9 @@ def fetch(url: str) -> str:
 class Api:
     """template: the URI; inputs: template names by the predicate that gives their value; columns: members read, with
     Spark types, by their path; items: path to the list of items in a response; page: name of the page parameter, from first_page on,
-    until an empty page; serializers: how inputs are written; interval: least seconds between a task's requests."""
+    until an empty page; serializers: how inputs are written; interval: least seconds between a task's requests; filters: parameters
+    that restrict a predicate's values by an operator, as (predicate, operator) by name, and those of them that a request needs.
+    They take the constants of the query's filters that imply them; the query's filters are applied all the same."""
 
     template: str
     inputs: dict[str, str]
@@ -74,6 +77,32 @@ class Api:
     interval: float = 0.0
     get: Callable[[str], str] = fetch
     serializers: dict[str, Callable[[str], str]] = field(default_factory=dict)
+    filters: dict[str, tuple[str, str]] = field(default_factory=dict)
+    needed: frozenset[str] = frozenset()
+
+
+#: What a parameter's operator is implied by: an API that keeps values >= 3 may be asked for a query that wants > 3.
+IMPLIED = {">=": (">=", ">", "="), ">": (">",), "<=": ("<=", "<", "="), "<": ("<",), "=": ("=",)}
+_TURNED = {"<": ">", ">": "<", "<=": ">=", ">=": "<=", "=": "="}
+
+
+def restricted(api: Api, wanted: list[Wanted], filters: list) -> dict[str, str]:
+    """The filter parameters' values, from comparisons of the star's variables with constants."""
+    out: dict[str, str] = {}
+    for name, (predicate, op) in api.filters.items():
+        names = {w.o.name for w in wanted if w.predicates and predicate in w.predicates and isinstance(w.o, Var)}
+        for e in filters:
+            if not (isinstance(e, Expr) and e.name in _TURNED and len(e.args) == 2):
+                continue
+            (a, b), said = e.args, e.name
+            if isinstance(b, Var):
+                a, b, said = b, a, _TURNED[said]
+            if isinstance(a, Var) and a.name in names and isinstance(b, Lit) and said in IMPLIED[op]:
+                out.setdefault(name, b.lex)
+    lacking = api.needed - out.keys()
+    if lacking:
+        raise ValueError(f"{api.template} needs filters for {sorted(lacking)}")
+    return out
 
 
 class WebApiSource(Source):
@@ -90,8 +119,12 @@ class WebApiSource(Source):
     def may_match(self, w: Wanted) -> bool:
         return bool(w.predicates and w.predicates & self.required) or self.shape.may_match(w)
 
-    def rows(self, inputs):
-        """The items for each row of inputs (a column per template name); equal inputs are asked once."""
+    def rows(self, inputs, restrictions: dict[str, str] | None = None):
+        """The items for each row of inputs (a column per template name); equal inputs are asked once.
+
+        restrictions: values of the filter parameters, the same for all rows.
+        """
+        fixed = {n: self.api.serializers[n](v) if n in self.api.serializers else v for n, v in (restrictions or {}).items()}
         api, names = self.api, list(self.api.inputs.values())
         fields = list(dict.fromkeys([*names, *api.columns]))
 
@@ -104,7 +137,7 @@ class WebApiSource(Source):
                         time.sleep(max(0.0, last + api.interval - time.monotonic()))
                         last = time.monotonic()
                         sent = {n: api.serializers[n](v) if n in api.serializers else v for n, v in row.items()}
-                        data = json.loads(api.get(expand_uri(api.template, sent | ({api.page: page} if api.page else {}))))
+                        data = json.loads(api.get(expand_uri(api.template, sent | fixed | ({api.page: page} if api.page else {}))))
                         for key in api.items:
                             data = member(data, key) or []
                         items = data if isinstance(data, list) else [data]
@@ -141,7 +174,8 @@ class WebApiSource(Source):
         cols = [left.col(v).alias(v) for v in left.vars] + [c.alias(f".in {n}") for n, c in texts.items()]
         asking = Relation(left.df.select(*cols), left.vars | {f".in {n}": Binding("lit", dt=STRING) for n in texts})
         context = self.context | {"@context": self.context["@context"] | {n: f"urn:input:{n}" for n in texts}}
-        table = from_context(self.rows(asking.df.select(*[F.col(f"`.in {n}`").alias(n) for n in texts])), context, self.name, unique=False)
+        limits = restricted(self.api, wanted, compiler.filters)
+        table = from_context(self.rows(asking.df.select(*[F.col(f"`.in {n}`").alias(n) for n in texts]), limits), context, self.name, unique=False)
         table.mapping.unique = True  # an item is a row; its patterns belong together
         needed = compiler.needed | {w.s.name for w in wanted if isinstance(w.s, Var)}
         out = R.join(asking, table.star(stars, needed))

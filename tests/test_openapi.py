@@ -37,3 +37,20 @@ def test_description_as_a_source(spark):
     fed.index_sources()
     got = fed.query("PREFIX : <http://e.x/> SELECT ?i WHERE { :u :key ?k ; :day ?d . ?t :opened ?d ; :id ?i . ?t <http://e.x/unit.code> ?k }").collect()
     assert sorted(r.i for r in got) == [5, 6]
+
+
+def test_filters_become_parameters(spark):
+    """A parameter that restricts a member takes the constant of a filter that implies it, and no other."""
+    params = [{"name": "code", "in": "path", "required": True, "x-path": {"path": ["key"]}}, {"name": "from", "in": "query", "x-path": {"path": ["id"], "filter": "$actual >= $input"}}, {"name": "to", "in": "query", "x-path": {"path": ["id"], "filter": "$input > $actual"}}]
+    spec = {**SPEC, "x-paging": {}, "paths": {"/t/{code}": {"get": {"parameters": params, "responses": {"200": {"schema": {"type": "array", "items": {"$ref": "#/definitions/Tender"}}}}}}}}
+    fed = Federation(spark).add_source(from_turtle(spark, '@prefix : <http://e.x/> . :u :code "1" .', "d")).add_source(api_source(spark, spec, "/t/{code}", "http://e.x/", "api", get=counted))
+    fed.index_sources()
+    ask = lambda text: sorted(r.i for r in fed.query("PREFIX : <http://e.x/> SELECT ?i WHERE { :u :code ?c . ?t :key ?c ; :id ?i " + text + " }").collect())
+    assert ask("FILTER(?i > 3 && ?i < 7)") == [4, 5, 6]  # `to` keeps what is less than 7, `from` what is 3 or more
+    assert ask("FILTER(?i <= 2)") == [0, 1, 2] and ask("FILTER(8 <= ?i)") == [8, 9] and ask("FILTER(?i > 3 || ?i < 2)") == [0, 1, *range(4, 10)]
+
+
+def counted(url):
+    asked = {k: int(v) for k, _, v in (x.partition("=") for x in url.partition("?")[2].split("&")) if k}
+    assert url.partition("?")[2] in ("from=3&to=7", "from=8", "")
+    return json.dumps([{"id": i} for i in range(asked.get("from", 0), asked.get("to", 10))])
