@@ -26,6 +26,8 @@ LEAST_DOCS, DISCLOSURE = 2, 0.9
 REMOVE = 0.97
 #: Share of a term's documents that a word must be in to be more general, and how many times as many documents it is in.
 SUBSUMES, BROADER = 0.8, 2.0
+#: Terms that are broadcast to the documents at most.
+BROADCAST_TERMS = 500_000
 
 
 def _luhn(digits: Column) -> Column:
@@ -45,12 +47,12 @@ def _holds(kind: Column, match: Column) -> Column:
     )
 
 
-def _cut(text: Column, kind: str, pattern: str, hint: str | None) -> Column:
+def _cut(text: Column, kind: str, pattern: str | Column, hint: str | None) -> Column:
     """An array of (kind, at, gap, length, match) of the pattern's matches; gap: characters since the last one."""
     there = text.rlike(hint) if hint else F.lit(True)
     gaps = F.split(text, pattern, -1)
     # Matches and gaps are zipped first: what a lambda names from outside is evaluated anew for each element.
-    zipped = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), gaps.alias("g"))
+    zipped = F.arrays_zip(F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0)).alias("m"), gaps.alias("g"))
     one = lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("at"), F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("length"), x["m"].alias("match"))
     return F.when(there, F.filter(F.transform(zipped, one), lambda x: x["match"].isNotNull())).otherwise(F.array().cast("array<struct<kind:string,at:int,gap:int,length:int,match:string>>"))
 
@@ -87,14 +89,14 @@ def _words(text: Column) -> Column:
 
 
 def disclosing_terms(docs: DataFrame, spans: DataFrame, documents: int, least_docs: int = LEAST_DOCS, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(dk, term, share): the terms of each document that disclose some entity, over all documents.
+    """(term, share): the terms that disclose some entity, by their documents all over the corpus.
 
     For an entity e and a word t of the same documents, wherever in them, share = 1 + log p(e|t) / log(1 / p(e)): 1 if all documents with t have e,
     0 if t tells nothing about e. Words count that occur with e in least_docs documents; shares from `disclosure` on
     disclose. Frequencies are of documents, over the whole corpus.
     """
     if not documents:
-        return spans.select("dk", F.col("match").alias("term"), F.lit(0.0).alias("share")).limit(0)
+        return spans.select(F.col("match").alias("term"), F.lit(0.0).alias("share")).limit(0)
     entity = F.xxhash64("kind", F.when(F.col("kind") == "email", F.lower("match")).otherwise(F.regexp_replace("match", r"[^0-9.]", "")))
     held = spans.select("rid", "dk", entity.alias("e")).distinct()
     entities = held.groupBy("e").agg(F.count("*").alias("with_e")).where((F.col("with_e") >= least_docs) & (F.col("with_e") * 2 <= documents))
@@ -107,14 +109,13 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, documents: int, least_do
     counted = only(docs, "text").select(F.explode(_words(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("with_t"))
     frequency = staged(counted.where((F.col("with_t") >= least_docs) & (F.col("with_t") <= highest)), "pii-words")
     # Rows that repeat a document count as often as entities do: words meet them by the document, entities by the row.
-    there = _keyed(docs).join(held.select("dk").distinct(), "dk", "left_semi").dropDuplicates(["dk"])
-    near = there.select("dk", F.explode(_words(F.col("text"))).alias("term")).where(F.length("term") >= 3).join(frequency, "term")
+    there = _keyed(docs).join(held.select("dk").distinct(), "dk", "left_semi")
+    near = there.select("dk", F.explode(_words(F.col("text"))).alias("term")).where(F.length("term") >= 3).join(frequency, "term").distinct()
     pairs = near.join(held.withColumn("most", most), "dk").where(F.col("with_t") <= F.col("most"))
     pairs = pairs.groupBy("e", "term", "with_e", "with_t").agg(F.count("*").alias("both")).where(F.col("both") >= least_docs)
     share = 1 + F.log(F.least(F.lit(1.0), F.col("both") / F.col("with_t"))) / bits
     revealing = pairs.withColumn("share", share).where(F.col("share") >= disclosure)
-    revealing = staged(revealing.groupBy("term").agg(F.max("share").alias("share")), "pii-terms")
-    return staged(_keyed(docs).select("dk", F.explode(_words(F.col("text"))).alias("term")).join(revealing, "term").distinct(), "pii-disclosing")
+    return staged(revealing.groupBy("term").agg(F.max("share").alias("share")), "pii-terms")
 
 
 def generalisations(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -135,21 +136,29 @@ def generalisations(docs: DataFrame, found: DataFrame) -> DataFrame:
     return fit.groupBy("term").agg(F.min(F.struct("n", "general"))["general"].alias("general"))
 
 
-def term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(dk, kind, start, end, share, term) of every place of a document's disclosing terms."""
-    # Rows that repeat a document have the same spans: one of them is cut.
-    held = _keyed(docs).join(found.select("dk").distinct(), "dk", "left_semi").dropDuplicates(["dk"])
-    each = held.select("dk", F.inline(_cut(F.col("text"), "term", WORD, None)))
-    placed = _placed(each, "dk", "kind").withColumn("term", F.lower("match"))
-    return placed.join(found, ["dk", "term"]).select("dk", "kind", "start", "end", "share", "term")
+def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(dk, kind, start, end, share, term) of every place of the terms, once for rows that repeat a document.
+
+    Texts aren't shuffled where the terms are few enough to be broadcast: a document's words meet them in place, and
+    each term that is there cuts the text on its own, so that only its places leave the task.
+    """
+    words = _keyed(docs).select("dk", "text", F.explode(_words(F.col("text"))).alias("term"))
+    if terms.count() <= BROADCAST_TERMS:
+        there = words.join(F.broadcast(terms), "term")
+    else:
+        there = words.select("dk", "term").join(terms, "term").distinct().join(_keyed(docs).select("dk", "text"), "dk")
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])"), F.col("term"), F.lit(r"(?![\p{L}\p{N}])"))
+    each = there.select("dk", "term", "share", F.inline(_cut(F.col("text"), "term", pattern, None))).dropDuplicates(["dk", "term", "at"])
+    return _placed(each, "dk", "term").where(F.lower("match") == F.col("term")).select("dk", "kind", "start", "end", "share", "term")
 
 
 def _found(docs: DataFrame, least_docs: int, disclosure: float, general: bool = False) -> DataFrame:
     """(doc_id, dk, b, t): the base spans and the term spans apart from them, as arrays of (k, start, end, share, term, general)."""
     rows, base = base_spans(docs)
-    terms = disclosing_terms(docs, base, rows.count(), least_docs, disclosure)
-    broader = generalisations(docs, terms) if general else None
-    spans = term_spans(docs, terms)
+    spans = term_spans(docs, disclosing_terms(docs, base, rows.count(), least_docs, disclosure))
+    if general:
+        spans = staged(spans, "pii-places")
+    broader = generalisations(docs, spans.select("dk", "term").distinct()) if general else None
     spans = spans.join(broader, "term", "left") if general else spans.withColumn("general", F.lit(None).cast("string"))
     placed = rows.select("rid", "dk").join(spans, "dk").select("rid", "kind", "start", "end", "share", "term", "general")
     none = lambda t: F.lit(None).cast(t)
