@@ -192,4 +192,5 @@ def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """encode_digests over the whole table of documents: a row per row, repeated ones and null ids included."""
     return encode_digests(table(spark, sf_dir, "documents"))

@@ -83,6 +83,7 @@ def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), budget_share: float = 1
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mix over the whole table of documents; see there for nulls, repeats and empty tables."""
     return mix(table(spark, sf_dir, "documents"))
 
 

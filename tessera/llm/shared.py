@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -14,8 +15,16 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"\x20\x09-\x0D"
 
 _local_dir: list[str] = []
-#: For each settled() under way: the folders written since.
-_scopes: list[list[str]] = []
+
+
+class _Scopes(threading.local):
+    """For each settled() that the thread has under way: the folders written since."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_scopes = _Scopes()
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -38,8 +47,8 @@ def staged(df: DataFrame, label: str, partition_by: str | None = None) -> DataFr
     """Writes df as a Parquet table in the shared folder and reads it back: this cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    if _scopes.open:
+        _scopes.open[-1].append(path)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -47,16 +56,16 @@ def staged(df: DataFrame, label: str, partition_by: str | None = None) -> DataFr
 
 def settled(label: str, spark: SparkSession, compute: Callable[[], DataFrame]) -> DataFrame:
     """compute()'s rows as a staged table. Whatever compute staged on its way is deleted once they are written."""
-    _scopes.append([])
+    _scopes.open.append([])
     try:
         rows = compute()
-        made = _scopes.pop()
+        made = _scopes.open.pop()
         try:
             return staged(rows, label)
         finally:
-            _scopes.append(made)
+            _scopes.open.append(made)
     finally:
-        for path in _scopes.pop():
+        for path in _scopes.open.pop():
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 

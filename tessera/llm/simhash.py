@@ -612,4 +612,5 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """simhash_dedup over the whole table of documents; repeated rows get a row each, in one component."""
     return simhash_dedup(table(spark, sf_dir, "documents"))

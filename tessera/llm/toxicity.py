@@ -297,4 +297,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, row:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """toxicity over the whole table of documents, learned from its labelled rows; repeated rows get a row each."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -126,6 +126,7 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 def op2_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """judge_urls over the whole table of pages; see there for nulls, repeats and empty tables."""
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
