@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chunks import release_caches
 from .shared import SPACE_CLASS, only, settled, shuffle_partitions, staged, table
 
 #: Repeated fingerprints are broadcast up to this count (8 bytes each), and joined by a shuffle beyond it.
@@ -95,6 +96,7 @@ def _filters(buckets_log2: int):
     """One filter for each bucket (the top bits of the fingerprints) of a partition's rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         held, n = [], 0
 
         def emit():
@@ -124,6 +126,7 @@ def _merged(buckets_log2: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         now, held, entries, grown = None, [], 0, 0
 
         def repeated():

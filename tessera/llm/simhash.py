@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chunks import release_caches
 from .shared import components, numbered, only, settled, shuffle_partitions, staged, table
 
 SEED = 42
@@ -110,6 +111,7 @@ def _fingerprints(words: int, width: int):
     names = ["doc_id", *_columns(width)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         for b in batches:
             fp = np.array([fingerprint(t.as_py(), words, width) for t in b.column(1)], np.uint64).reshape(-1, width // 64)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in fp.T)], names)
@@ -257,6 +259,7 @@ def _linked(bits: int, width: int, pivots: int, free: list[int] | None):
         return t[met], key[met], node[met], fp[met]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         held: list[tuple[np.ndarray, ...]] = []
         rows = 0
         for batch in batches:
@@ -317,6 +320,7 @@ def _digests(words: int):
     names = ["row", "doc_id", "d0", "d1", "n", "h", "c"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         held, n = [], 0
 
         def counted() -> pa.RecordBatch:
@@ -367,6 +371,7 @@ def _sketches(words: int, similarity: float, width: int, frequent: tuple[np.ndar
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *(p.view(np.int64) for p in parts)])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         for b in batches:
             fps, firsts, hots, sizes = [], [], [], []
             for t in b.column(1):
@@ -439,6 +444,7 @@ def _verified(words: int, similarity: float, width: int):
     """(node, root) from (component, node, text), met whole by component: root names what is linked by exact similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         now, nodes, sets = None, [], []
 
         def settled() -> pa.RecordBatch:
@@ -468,6 +474,7 @@ def _probe_links(words: int, similarity: float, width: int):
     bits = radius(similarity, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         now, parts, sets, prints = None, [], [], []
         for b in batches:
             found = set()

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chunks import release_caches
 from .shared import only, staged, table
 
 #: Labelled rows that the regression is fitted on, at most (those with the smallest hash of the id).
@@ -213,6 +214,7 @@ def _features(lexicons: list[dict[str, float]]):
     """Features of (text, toxic, fold): each row under the lexicon of its fold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         scorers = [Scorer(LexiconAutomaton(x)) for x in lexicons]
         for b in batches:
             x = [scorers[f].features(t) for t, f in zip(b.column(0).to_pylist(), b.column(2).to_pylist())]
@@ -223,6 +225,7 @@ def _features(lexicons: list[dict[str, float]]):
 
 def _scored(automaton: LexiconAutomaton, coefficients: np.ndarray, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         scorer = Scorer(automaton)
         for b in batches:
             x = np.array([scorer.features(t.as_py()) for t in b.column(b.num_columns - 1)], float).reshape(-1, Scorer.FEATURES)

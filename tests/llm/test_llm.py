@@ -324,6 +324,18 @@ def test_exact_repair_leaves_no_frequent_pair():
     assert max(counts.values()) < repair.LEAST_COUNT and block.lengths.max() >= 300
 
 
+def test_other_operators_release_what_an_encoder_cached():
+    """Else a worker that has encoded holds some 500 MB through the next operator's tasks."""
+    coders = bpe.codec(bpe.vocabulary_path()), repair.coder_of(bpe.vocabulary_path())
+    text = " ".join(chr(97 + i % 26) + chr(97 + i // 26) for i in range(600))
+    for run in (simhash._fingerprints(3, 64), simhash._digests(5), simhash._verified(5, 0.8, 256), exact_dedup._filters(1), toxicity._features([])):
+        before = [c.encode([text])[0].tolist() for c in coders]
+        assert all(len(c.index) > 100 for c in coders)
+        list(run(iter(())))
+        assert not any(len(c.index) or c.used for c in coders)
+        assert [c.encode([text])[0].tolist() for c in coders] == before
+
+
 def test_written_ids(docs, library, monkeypatch):
     monkeypatch.setattr(repair, "BLOCK_IDS", 500)
     got = sorted(collect(repair.read_digests(repair.write_ids(docs, partitions=3))), key=lambda r: r["start"])
