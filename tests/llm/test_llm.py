@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -245,6 +246,22 @@ def test_remove_repeats_where_an_anchor_is_split(spark):
     assert sum(e[1] > 0 for e in expected) == len(texts) - 3
 
 
+def test_marks_are_one_interval_for_each_run_of_covered_bytes():
+    """Else each anchor of a copy counts, and texts are shuffled although few documents have marks."""
+    rng = np.random.default_rng(5)
+    a = [rng.integers(0, 4000, n).tolist() for n in (1, 2, 40, 300)]
+    b = [[x + int(rng.integers(0, 60)) for x in y] for y in a]
+    a, b = [[0, 101, 401, 900], *a], [[100, 300, 500, 900], *b]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), *(pa.array(x, pa.list_(pa.int32())) for x in (a, b))], ["rid", "a", "b"])
+    got = list(substring_dedup._merged(100)(iter([batch.slice(0, 2), batch.slice(2)])))
+    got = [r for part in got for r in part.to_pylist()]
+    covered = lambda x, y: {i for p, q in zip(x, y) for i in range(p, q + 100)}
+    assert [r["rid"] for r in got] == list(range(5)) and (got[0]["a"], got[0]["b"]) == ([0, 401, 900], [300, 500, 900])
+    for r, x, y in zip(got, a, b):
+        want = covered(x, y)
+        assert covered(r["a"], r["b"]) == want and len(r["a"]) == sum(i - 1 not in want for i in want)
+
+
 def test_anchors_of_long_texts_are_cut_alike(monkeypatch):
     rng = np.random.default_rng(6)
     data = rng.integers(97, 101, 6000).astype(np.uint8)
