@@ -75,3 +75,41 @@ def test_times_and_nothing_to_compare(spark):
 def test_one_value_is_dealt_over_several_cells(spark):
     df = asked(graph(spark, [1.0] * 200, [2.0] * 300), "?p < ?q")
     assert df.count() == 60000 and max(sizes(df)) < 60000 / 8
+
+
+def test_frequent_keys_are_dealt_out(spark):
+    """?p and ?q are the keys here; one of them has most pairs, others few or none."""
+    a, b = [1.0] * 200 + [2.0] * 3 + [4.0, None], [1.0] * 150 + [2.0] * 70 + [3.0, None]
+    df = graph(spark, a, b).query(f"PREFIX : <{EX}> SELECT ?i ?j WHERE {{ ?x :aid ?i ; :a ?p . ?y :bid ?j ; :b ?p }}")
+    assert Counter(map(tuple, df.collect())) == Counter((i, j) for i, p in enumerate(a) for j, q in enumerate(b) if p is not None and p == q)
+    assert max(sizes(df)) < 12 * pairs.PAIRS
+
+
+def test_many_pairs_of_rare_keys(spark):
+    a, b = [float(i % 40) for i in range(400)], [float(i % 50) for i in range(500)]
+    df = graph(spark, a, b).query(f"PREFIX : <{EX}> SELECT ?i ?j WHERE {{ ?x :aid ?i ; :a ?p . ?y :bid ?j ; :b ?p }}")
+    assert Counter(map(tuple, df.collect())) == Counter((i, j) for i, p in enumerate(a) for j, q in enumerate(b) if p == q)
+
+
+def test_products_are_dealt_out(spark):
+    a, b = [float(i) for i in range(100)], [float(i) for i in range(90)]
+    df = asked(graph(spark, a, b), "?p != ?q")
+    assert df.count() == 100 * 90 - 90 and max(sizes(df)) < 9000 / 4
+
+
+def test_unique_keys_are_joined_as_they_are(spark):
+    df = graph(spark, [1.0] * 50, [2.0] * 50).query(f"PREFIX : <{EX}> SELECT ?p WHERE {{ ?x :a ?p . ?y :bid ?j ; :b ?q FILTER(?p < ?q) }}")
+    assert df.count() == 2500
+    fed = graph(spark, [1.0] * 50, [2.0] * 50)
+    assert fed.query(f"PREFIX : <{EX}> SELECT ?p WHERE {{ ?x :a ?p ; :aid ?i }}").count() == 50
+    compiled = fed.compile(fed.plan(f"PREFIX : <{EX}> SELECT ?x ?p WHERE {{ ?x :a ?p }}"))
+    assert compiled.df.count() == 50
+
+
+def test_a_table_with_itself(spark):
+    a = [float(i % 7) for i in range(150)]
+    fed = graph(spark, a, [])
+    same = fed.query(f"PREFIX : <{EX}> SELECT ?i ?j WHERE {{ ?x :aid ?i ; :a ?p . ?y :aid ?j ; :a ?p }}")
+    assert Counter(map(tuple, same.collect())) == Counter((i, j) for i, p in enumerate(a) for j, q in enumerate(a) if p == q)
+    less = fed.query(f"PREFIX : <{EX}> SELECT ?i ?j WHERE {{ ?x :aid ?i ; :a ?p . ?y :aid ?j ; :a ?q FILTER(?p < ?q) }}")
+    assert Counter(map(tuple, less.collect())) == Counter((i, j) for i, p in enumerate(a) for j, q in enumerate(a) if p < q)
